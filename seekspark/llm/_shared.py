@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -23,3 +24,8 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` with columns behind it, given as DDL."""
+    return StructType([*df.schema.fields, *_parse_datatype_string(more).fields])

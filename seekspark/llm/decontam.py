@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm._arrow import covered, mix, rolling, slices, utf8, word_hashes, words
-from seekspark.llm._shared import durable
+from seekspark.llm._shared import durable, extended
 
 #: ASCII but digits and letters parts words; capitals are lowered first.
 PARTING = np.ones(256, bool)
@@ -189,8 +189,7 @@ def _one_block(docs: DataFrame, tests: TestSuffixes, text_col: str) -> DataFrame
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, kind)], names=[*names, *NEW])
 
-    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
-    return docs.mapInArrow(match, own + f"n_words long, n_hit long, matches {MATCHES}")
+    return docs.mapInArrow(match, extended(docs.select(*names), f"n_words long, n_hit long, matches {MATCHES}"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
