@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import chat, decontam, quality, simhash, substring, suffix_dedup, toxicity
+from seekspark.llm import chat, decontam, licenses, packing, pii, quality, simhash, substring, suffix_dedup, toxicity
 from seekspark.llm._shared import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: For the queries here; a real run takes its own, kept secret.
+PII_KEY = "surrogates of the sample tables"
 
 
 def _query(f):
@@ -44,6 +46,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @_query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -58,6 +70,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct("licenses.license"))
+    return out.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(F.coalesce(F.array_max("licenses.containment"), F.lit(0.0)), 6).alias("containment"))
+
+
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeated_windows(table(spark, sf_dir, "documents"))
