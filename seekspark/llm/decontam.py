@@ -155,10 +155,10 @@ def _one_block(docs: DataFrame, tests: TestSuffixes, text_col: str) -> DataFrame
     before = "matches" in docs.columns
     names = [c for c in docs.columns if c not in NEW]
     docs = docs.select(*names, *(["matches"] * before))
-    sent = docs.sparkSession.sparkContext.broadcast(tests)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(tests))  # plain values: workers need no module to read them
 
     def match(batches):
-        t = sent.value
+        t = TestSuffixes(**sent.value)
         bits = {}
         for size, hashes in t.heads.items():
             bits[size] = np.zeros(1 << 20, bool)
