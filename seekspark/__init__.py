@@ -1 +1,8 @@
 """Search and corpus analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value: the workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
