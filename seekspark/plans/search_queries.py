@@ -1,3 +1,186 @@
-from seekspark.plans.registry import Registry
+"""Tokens, postings, BM25, ranking and pages of results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seekspark.functions import html, urls
+from seekspark.functions.text import cut_snippet, snippet, tokens
+from seekspark.operators import ranking, search
+from seekspark.plans.query_parser import parse
+from seekspark.plans.registry import FETCHED_SQL, NOW, Registry, fetched_at
+from seekspark.plans.url_queries import LABEL, QUALITY, RANK_HOST, SEGMENTS, TITLE
+from seekspark.sources.tables import table
 
 REGISTRY = Registry()
+BODY = ("body",)
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND strlen(t) < 40)"
+_WORDS = f"(SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)"
+_POSTED = f"(SELECT doc_id, term, count(*)::BIGINT AS tf FROM {_WORDS} GROUP BY ALL)"
+_LENGTHS = f"(SELECT doc_id, len({_TOKENS})::BIGINT AS dl FROM documents)"
+
+
+def _bm25(terms: list[str], need: str) -> str:
+    wanted = ", ".join(f"'{t}'" for t in terms)
+    return f"""(WITH p AS MATERIALIZED (SELECT * FROM {_POSTED} WHERE term IN ({wanted})), l AS MATERIALIZED (SELECT * FROM {_LENGTHS}), d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+        SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+        FROM p JOIN d USING (term) JOIN l USING (doc_id), (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l) GROUP BY doc_id HAVING count(DISTINCT term) {need})"""
+
+
+def corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+
+
+def index_of(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return search.postings(docs, "doc_id", BODY), search.field_stats(search.doc_lengths(docs, "doc_id", BODY))
+
+
+@REGISTRY.query(f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
+def q_tokenize(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", F.size(tokens(F.col("body"))).alias("n_tokens"), F.array_join(tokens(F.col("body")), " ").alias("tokens"))
+
+
+@REGISTRY.query(f"SELECT * FROM {_POSTED}")
+def q_postings(spark, sf_dir):
+    return index_of(spark, sf_dir)[0].select(F.col("id").alias("doc_id"), "term", "tf")
+
+
+@REGISTRY.query(f"SELECT * FROM {_LENGTHS}")
+def q_doc_len(spark, sf_dir):
+    return search.doc_lengths(corpus(spark, sf_dir), "doc_id", BODY).select(F.col("id").alias("doc_id"), "dl")
+
+
+@REGISTRY.query(f"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM {_POSTED} GROUP BY term")
+def q_term_stats(spark, sf_dir):
+    return search.term_stats(index_of(spark, sf_dir)[0]).select("term", "df", "cf")
+
+
+def _scores(spark, sf_dir, query: str, default: str = "and"):
+    return search.scored(*index_of(spark, sf_dir), parse(query, default), BODY).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'and'], '= 2')}")
+def q_bm25_and(spark, sf_dir):
+    return _scores(spark, sf_dir, "The and")
+
+
+@REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'und'], '>= 1')}")
+def q_bm25_or(spark, sf_dir):
+    return _scores(spark, sf_dir, "the OR und")
+
+
+@REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'qqqzz'], '>= 1')}")
+def q_relax(spark, sf_dir):
+    hits = search.match(*index_of(spark, sf_dir), "the qqqzz", BODY)
+    return hits.hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT count(*)::BIGINT AS total FROM {_bm25(['the', 'and'], '= 2')}")
+def q_match_count(spark, sf_dir):
+    return _scores(spark, sf_dir, "the and").agg(F.count("*").alias("total"))
+
+
+@REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20 OFFSET 10")
+def q_top_k(spark, sf_dir):
+    hits = search.scored(*index_of(spark, sf_dir), parse("the and"), BODY)
+    return search.top(hits, 20, 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' of the ') AND NOT contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' is ')")
+def q_phrase_and_not(spark, sf_dir):
+    return _scores(spark, sf_dir, '"of the" -is').select("doc_id")
+
+
+_MATCH = lambda terms, html="html": f"""(CASE WHEN len(regexp_extract_all(lower({TITLE}), '[a-z0-9]+')) = 0 THEN 0 ELSE least(1, len(list_intersect(list_distinct(regexp_extract_all(lower({TITLE}), '[a-z0-9]+')), {terms})) / len(regexp_extract_all(lower({TITLE}), '[a-z0-9]+'))) END)"""
+_SCORE = "(2 + (page_id % 80) / 10)"
+_FRESH = f"({_SCORE} * pow(0.5::DOUBLE, greatest(0, ({NOW} - {FETCHED_SQL}) / 86400) / 30))"
+_QUERY = "the and thonre"
+_POOL = f"""(SELECT *, {_FRESH} * {QUALITY} + 2.5 * (page_id % 7) / 7 + 1.5 * (page_id % 5) / 5 + 2.0 * {_MATCH("['the', 'and', 'thonre']")}
+    + CASE WHEN {LABEL} IN ('the', 'and', 'thonre') AND len({SEGMENTS}) > 0 THEN 1.2 ELSE 0 END AS score, {RANK_HOST} AS host, lower(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))) AS norm FROM pages)"""
+_COLLAPSED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, norm, page_id % 2 ORDER BY score DESC, page_id) AS n FROM {_POOL}) WHERE n = 1)"
+_ORDERED = f"(SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM {_COLLAPSED})"
+_WINDOW, _LIMIT, _CAP = 60, 10, 2
+_PASSES = 60
+
+
+def _hits(spark, sf_dir):
+    i = F.col("page_id")
+    score, authority, host_authority = 2 + (i % 80) / 10, (i % 7) / 7, (i % 5) / 5
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.raw_title(F.col("html")).alias("title"), (i % 2).cast("string").alias("snippet"), fetched_at().alias("fetched_at"), score.alias("score"), authority.alias("authority"), host_authority.alias("host_authority"), i.alias("engine_rank"))
+
+
+def _pool(spark, sf_dir):
+    return ranking.ordered_pool(_hits(spark, sf_dir), _QUERY, NOW)
+
+
+@REGISTRY.query(f"SELECT page_id, round({_FRESH}, 6) AS score FROM pages")
+def q_freshness(spark, sf_dir):
+    return _hits(spark, sf_dir).select("page_id", F.round(ranking.freshness(F.col("score"), F.col("fetched_at"), NOW), 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT page_id, round(score, 6) AS score FROM {_POOL}")
+def q_importance(spark, sf_dir):
+    fresh = _hits(spark, sf_dir).withColumn("score", ranking.freshness(F.col("score"), F.col("fetched_at"), NOW))
+    return fresh.select("page_id", F.round(ranking.importance(F.col("score"), _QUERY), 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT page_id, round(score, 6) AS score, place FROM {_ORDERED}")
+def q_rank_pool(spark, sf_dir):
+    return _pool(spark, sf_dir).select("page_id", F.round("score", 6).alias("score"), "place")
+
+
+@REGISTRY.query(f"SELECT host, count(*)::BIGINT AS hits, count(DISTINCT norm || (page_id % 2)::VARCHAR)::BIGINT AS different FROM {_POOL} GROUP BY host")
+def q_collapse_dups(spark, sf_dir):
+    host = urls.rank_host(F.col("url")).alias("host")
+    all_hits = _hits(spark, sf_dir).groupBy(host).agg(F.count("*").alias("hits"))
+    return all_hits.join(_pool(spark, sf_dir).groupBy(host).agg(F.count("*").alias("different")), "host")
+
+
+@REGISTRY.query(f"SELECT page_id, place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM {_ORDERED}) WHERE h <= {_CAP}")
+def q_domain_cap(spark, sf_dir):
+    pool = _pool(spark, sf_dir).withColumn("host", urls.rank_host(F.col("url")))
+    return ranking.cap_hosts(pool, _CAP).select("page_id", "place")
+
+
+def _walk(passes: int) -> str:
+    parts = [f"w0 AS MATERIALIZED (SELECT page_id, host, place FROM {_ORDERED} WHERE place <= {_WINDOW})"]
+    for i in range(1, passes + 1):
+        parts.append(f"e{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM w{i - 1})")
+        parts.append(f"t{i} AS MATERIALIZED (SELECT page_id, host, place, row_number() OVER (ORDER BY place) AS slot FROM e{i} WHERE h <= {_CAP} QUALIFY row_number() OVER (ORDER BY place) <= {_LIMIT})")
+        parts.append(f"w{i} AS MATERIALIZED (SELECT page_id, host, place FROM w{i - 1} WHERE page_id NOT IN (SELECT page_id FROM t{i}))")
+    return "WITH " + ", ".join(parts)
+
+
+def _paged(spark, sf_dir):
+    pool = _pool(spark, sf_dir).filter(F.col("place") <= _WINDOW).withColumn("host", urls.rank_host(F.col("url")))
+    return pool.select("page_id", "host", "place")
+
+
+@REGISTRY.query(_walk(30) + " " + " UNION ALL ".join(f"SELECT page_id, {i}::BIGINT AS page, slot FROM t{i}" for i in range(1, 31)))
+def q_pages(spark, sf_dir):
+    """Every page of the window of hits."""
+    return ranking.page_numbers(_paged(spark, sf_dir), _LIMIT, _CAP).select("page_id", "page", "slot")
+
+
+@REGISTRY.query(_walk(2) + f""" SELECT count(*)::BIGINT AS on_page, (SELECT count(*) FROM w2 WHERE (SELECT count(*) FROM t2) < {_LIMIT} OR place < (SELECT max(place) FROM t2))::BIGINT AS held_back FROM t2""")
+def q_held_back(spark, sf_dir):
+    page = ranking.take_page(_paged(spark, sf_dir), _LIMIT, _LIMIT, _CAP)
+    return page.hits.agg(F.count("*").alias("on_page")).withColumn("held_back", F.lit(page.held_back).cast("long"))
+
+
+@REGISTRY.query(None)
+def q_snippet(spark, sf_dir):
+    hits = search.top(search.scored(*index_of(spark, sf_dir), parse("the and"), BODY), 20)
+    return F.broadcast(hits).join(corpus(spark, sf_dir), F.col("id") == F.col("doc_id")).select("doc_id", snippet(F.col("body"), {"the": 1.0, "and": 1.0}).alias("snippet"))  # 20 rows
+
+
+@REGISTRY.query(None)
+def q_search_flagship(spark, sf_dir):
+    """Pages read, indexed in memory, searched for two terms, re-ranked: the first page of results."""
+    from seekspark.operators.engine import SearchEngine
+
+    pages = table(spark, sf_dir, "pages").select(urls.canonical_url(F.col("url")).alias("url"), html.extract_page("html", "url").alias("p"), fetched_at().alias("fetched_at"))
+    docs = pages.select("url", "p.title", F.col("p.text").alias("body"), "fetched_at", F.col("p.links").alias("outlinks"))
+    engine = SearchEngine.over(docs)
+    return engine.page(engine.search("the and", limit=10, now=NOW))
