@@ -60,7 +60,7 @@ def _kernel(nodes: DataFrame, edges: DataFrame, c: GraphConfig) -> DataFrame:
         return pd.DataFrame({"node": names, "rank": rank})
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return rows.groupBy(F.lit(0)).applyInPandas(run, f"node {kind}, rank double")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"node {kind}, rank double")
 
 
 def _joined(nodes: DataFrame, edges: DataFrame, c: GraphConfig, n: int) -> DataFrame:

@@ -1,3 +1,228 @@
-from seekspark.plans.registry import Registry
+"""Link graph, frontier, robots, seeds and upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seekspark.config import GraphConfig
+from seekspark.functions import robots, urls
+from seekspark.operators import analytics, engine, frontier, graph
+from seekspark.plans.registry import EDGES_SQL, Registry, page_edges, values
+from seekspark.plans.url_queries import CANONICAL
+from seekspark.sources.tables import table
 
 REGISTRY = Registry()
+_HOST = lambda c: f"lower(regexp_extract({c}, '://([^/?#]*)', 1))"
+_INLINKS = f"(SELECT {_HOST('dst')} AS host, count(*)::BIGINT AS inlinks FROM {EDGES_SQL} WHERE {_HOST('src')} <> {_HOST('dst')} GROUP BY 1)"
+
+
+def _pagerank_sql(iterations: int = 20) -> str:
+    parts = [
+        f"e AS MATERIALIZED (SELECT * FROM {EDGES_SQL})", "nodes AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src)",
+        "c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes)", "r0 AS MATERIALIZED (SELECT node, 1 / n AS rank FROM nodes, c)",
+    ]
+    for i in range(1, iterations + 1):
+        parts.append(f"""r{i} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(passed, 0) + loose / n) AS rank FROM nodes CROSS JOIN c
+            CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM r{i - 1} WHERE node NOT IN (SELECT src FROM deg))
+            LEFT JOIN (SELECT dst, sum(rank / d) AS passed FROM e JOIN deg USING (src) JOIN r{i - 1} ON node = src GROUP BY dst) ON dst = node)""")
+    return "WITH " + ", ".join(parts)
+
+
+@REGISTRY.query(f"SELECT * FROM {EDGES_SQL}")
+def q_link_edges(spark, sf_dir):
+    pages = page_edges(table(spark, sf_dir, "pages")).groupBy("src").agg(F.collect_list("dst").alias("links"))
+    return graph.link_edges(pages, "src", "links")
+
+
+@REGISTRY.query(f"SELECT * FROM {_INLINKS}")
+def q_host_inlinks(spark, sf_dir):
+    return graph.host_inlinks(page_edges(table(spark, sf_dir, "pages")))
+
+
+@REGISTRY.query(f"SELECT host, (2 * inlinks)::BIGINT AS inlinks, round(1 - exp(-2 * inlinks / 8.0), 6) AS host_authority FROM {_INLINKS}")
+def q_host_authority(spark, sf_dir):
+    """Of a second run over the same pages, whose links add to the totals kept."""
+    edges = page_edges(table(spark, sf_dir, "pages"))
+    return graph.host_authority(graph.host_inlinks(edges, graph.host_inlinks(edges))).withColumn("host_authority", F.round("host_authority", 6))
+
+
+@REGISTRY.query(_pagerank_sql() + " SELECT node, round(rank, 9) AS rank FROM r20")
+def q_pagerank(spark, sf_dir):
+    return graph.pagerank(page_edges(table(spark, sf_dir, "pages"))).withColumn("rank", F.round("rank", 9))
+
+
+@REGISTRY.query(_pagerank_sql(3) + " SELECT node, round(rank, 9) AS rank FROM r3")
+def q_pagerank_joined(spark, sf_dir):
+    """The iterations as joins, as for graphs that no one task should hold."""
+    return graph.pagerank(page_edges(table(spark, sf_dir, "pages")), c=GraphConfig(iterations=3), distributed=True).withColumn("rank", F.round("rank", 9))
+
+
+@REGISTRY.query(_pagerank_sql() + f""" SELECT node AS url, round(1 - exp(-rank * n / 4), 6) AS authority, round(coalesce(1 - exp(-inlinks / 8.0), 0), 6) AS host_authority
+    FROM r20 CROSS JOIN c LEFT JOIN {_INLINKS} ON host = {_HOST('node')}""")
+def q_authority(spark, sf_dir):
+    out = graph.authority(page_edges(table(spark, sf_dir, "pages")))
+    return out.select("url", F.round("authority", 6).alias("authority"), F.round("host_authority", 6).alias("host_authority"))
+
+
+@REGISTRY.query(f"SELECT (SELECT count(*) FROM (SELECT src FROM {EDGES_SQL} UNION SELECT dst FROM {EDGES_SQL}))::BIGINT AS nodes, count(*)::BIGINT AS edges, false AS over_limit FROM {EDGES_SQL}")
+def q_graph_shape(spark, sf_dir):
+    return graph.shape(page_edges(table(spark, sf_dir, "pages")))
+
+
+@REGISTRY.query(f"SELECT p.page_id, round(coalesce(n / 10.0, 0), 6) AS score FROM pages p LEFT JOIN (SELECT dst, count(*) AS n FROM {EDGES_SQL} GROUP BY dst) ON dst = url")
+def q_scores_join(spark, sf_dir):
+    """Documents with the scores they have, 0 for those without."""
+    scores = page_edges(table(spark, sf_dir, "pages")).groupBy(F.col("dst").alias("url")).agg((F.count("*") / 10.0).alias("authority"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").join(scores, "url", "left").select("page_id", F.round(F.coalesce("authority", F.lit(0.0)), 6).alias("score"))
+
+
+@REGISTRY.query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def q_upsert_latest(spark, sf_dir):
+    """An index of the first half of the updates, then the second half upserted: of each key the last update is left."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    old, new = (engine.latest(events.filter(x), "user_id", "event_id") for x in (F.col("event_id") <= half, F.col("event_id") > half))
+    return engine.upsert(old, new, "user_id")
+
+
+_SEEN = "(SELECT page_id, canonical AS url FROM {c} WHERE page_id >= 0)".format(c=CANONICAL)
+
+
+@REGISTRY.query(f"SELECT url FROM {_SEEN} WHERE page_id % 3 <> 0")
+def q_seen_anti(spark, sf_dir):
+    known = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
+    return known.join(known.filter("page_id % 3 = 0").select("url"), "url", "left_anti").select("url")
+
+
+_WEB_HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-9]*$', '')"
+
+
+@REGISTRY.query(f"SELECT page_id FROM pages WHERE {_WEB_HOST} IN (SELECT {_WEB_HOST} FROM pages WHERE page_id < 10)")
+def q_scope_semi(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("host", urls.crawl_host(F.col("url")))
+    return pages.join(pages.filter("page_id < 10").select("host"), "host", "left_semi").select("page_id")
+
+
+@REGISTRY.query(f"""SELECT url, min(page_id)::BIGINT AS seq, 1::BIGINT AS depth FROM {_SEEN} WHERE page_id % 4 < 3 AND {_WEB_HOST} IN (SELECT {_WEB_HOST} FROM pages WHERE page_id < 20)
+    AND url NOT IN (SELECT url FROM {_SEEN} WHERE page_id % 5 = 0) GROUP BY url""")
+def q_schedule(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    links = pages.filter("page_id % 4 < 3").select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq")).unionAll(pages.filter("page_id % 4 < 2").select("url", F.lit(0), F.col("page_id")))
+    seen = pages.filter("page_id % 5 = 0").select(urls.canonical_url(F.col("url")).alias("url"))
+    scope = pages.filter("page_id < 20").select(urls.crawl_host(F.col("url")).alias("host"))
+    return frontier.schedule(links, seen, scope).select("url", "seq", "depth")
+
+
+def _frontier(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(urls.crawl_host(F.col("url")).alias("host"), F.col("page_id").alias("seq"))
+
+
+_FRONTIER = f"(SELECT page_id AS seq, {_WEB_HOST} AS host FROM pages)"
+
+
+@REGISTRY.query(f"SELECT host, min(seq)::BIGINT AS seq FROM {_FRONTIER} GROUP BY host")
+def q_frontier_heads(spark, sf_dir):
+    return frontier.heads(_frontier(spark, sf_dir))
+
+
+@REGISTRY.query(f"SELECT host, min(seq)::BIGINT AS seq FROM {_FRONTIER} GROUP BY host HAVING coalesce(CASE WHEN length(host) % 2 = 0 THEN length(host) * 100 END, 0) <= 1600 ORDER BY host LIMIT 32")
+def q_pop_ready(spark, sf_dir):
+    jobs = _frontier(spark, sf_dir)
+    hosts = jobs.select("host").distinct().filter("length(host) % 2 = 0").withColumn("next_allowed_at_ms", F.length("host") * 100)
+    return frontier.pop_ready(jobs, hosts, 1600)
+
+
+@REGISTRY.query(f"SELECT host, seq FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS n FROM {_FRONTIER}) WHERE n <= 2 ORDER BY n, seq LIMIT 32")
+def q_inflight_assign(spark, sf_dir):
+    return frontier.assign(_frontier(spark, sf_dir))
+
+
+@REGISTRY.query(f"SELECT host, (5000 + greatest(1000, max(seq % 4) * 1000))::BIGINT AS next_allowed_at_ms, 5000::BIGINT AS last_fetched_at_ms FROM {_FRONTIER} GROUP BY host")
+def q_defer_hosts(spark, sf_dir):
+    jobs = _frontier(spark, sf_dir)
+    hosts = jobs.select("host", F.lit(1).cast("long").alias("next_allowed_at_ms"), F.lit(1).cast("long").alias("last_fetched_at_ms")).distinct()
+    return frontier.defer(hosts, jobs.select("host", (F.col("seq") % 4).alias("crawl_delay_s")), 5000)
+
+
+@REGISTRY.query(f"SELECT seq, host, length(host) % 3 <> 0 AND 100 <= length(host) * 6 AS known FROM {_FRONTIER}")
+def q_robots_ttl_join(spark, sf_dir):
+    jobs = _frontier(spark, sf_dir)
+    cache = jobs.select("host").distinct().filter("length(host) % 3 <> 0").select("host", F.lit(0).alias("fetched_at_ms"), (F.length("host") * 6).alias("ttl_ms"))
+    return frontier.valid_robots(jobs, cache, 100).select("seq", "host", "known")
+
+
+_RULES = [("a", "/x", False), ("a", "/x/y", True), ("b", "/*.html", False), ("b", "/en", True), ("c", "/en/7$", False), ("c", "/", True), ("d", "/en", True), ("d", "/en", False)]
+_REGEX = {"/x": "^/x", "/x/y": "^/x/y", "/*.html": r"^/.*\.html", "/en": "^/en", "/en/7$": "^/en/7$", "/": "^/"}
+_RULES_SQL = values([(h, len(p.rstrip("$")), _REGEX[p], a) for h, p, a in _RULES], "host, n, re, is_allow")
+_PATHS = "(SELECT page_id, substr('abcde', 1 + (page_id % 5)::INT, 1) AS host, CASE WHEN page_id % 7 = 0 THEN '/x/y/' ELSE regexp_extract(url, '://[^/?#]*([^#]*)', 1) END AS path FROM pages)"
+
+
+@REGISTRY.query(f"""SELECT page_id, coalesce(NOT arg_max(NOT is_allow, n * 2 + (NOT is_allow)::INT), true) AS allowed FROM (SELECT p.page_id, r.n, r.is_allow FROM {_PATHS} p LEFT JOIN {_RULES_SQL} r ON p.host = r.host AND regexp_matches(p.path, r.re)) GROUP BY page_id""")
+def q_robots_allows(spark, sf_dir):
+    paths = table(spark, sf_dir, "pages").select("page_id", F.substr(F.lit("abcde"), (F.col("page_id") % 5 + 1).cast("int"), F.lit(1)).alias("host"), F.when(F.col("page_id") % 7 == 0, "/x/y/").otherwise(urls.request_path(F.col("url"))).alias("path"))
+    return robots.allowed(paths, spark.createDataFrame(_RULES, "host string, pattern string, is_allow boolean")).select("page_id", "allowed")
+
+
+_ROBOTS = [
+    (1, "User-agent: *\nDisallow: /a # no\nCrawl-delay: 1.2\n\nUser-agent: seek\nUser-agent: other\nAllow: /b\nSitemap: https://x.example/s.xml", "|/b||https://x.example/s.xml"),
+    (2, "user-agent: *\nDISALLOW: /c\nDisallow:\ncrawl-delay: soon", "/c|||"), (3, "Disallow: /x", "|||"), (4, "User-agent: *\nCrawl-delay: -5\nCrawl-delay: 0.2", "||1|"),
+]
+
+
+@REGISTRY.query(f"SELECT id::BIGINT AS id, said FROM {values([(i, s) for i, _, s in _ROBOTS], 'id, said')}")
+def q_robots_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(i, b) for i, b, _ in _ROBOTS], "id long, body string").select("id", robots.parse_robots(F.col("body"), "Seekbot/1.0").alias("r"))
+    joined = lambda c: F.array_join(f"r.{c}", ",")
+    return rows.select("id", F.concat_ws("|", joined("disallow"), joined("allow"), F.coalesce(F.col("r.crawl_delay_s").cast("string"), F.lit("")), joined("sitemaps")).alias("said"))
+
+
+_INTERLEAVED = f"""(WITH s AS (SELECT page_id AS seq, {_WEB_HOST} AS site, substr(url, 1, length(url) - page_id::INT % 2) AS url FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq) - 1 AS depth, min(seq) OVER (PARTITION BY site) AS ss FROM s),
+    c AS (SELECT count(DISTINCT site) AS n FROM s), f AS (SELECT url, min(struct_pack(late := depth >= greatest(8, ceil(40 / n)), depth := depth, ss := ss, site := site)) AS k FROM r, c GROUP BY url)
+    SELECT row_number() OVER (ORDER BY k) AS place, url, k.site AS site FROM f ORDER BY k LIMIT 40)"""
+
+
+def _seeds(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.expr("substr(url, 1, length(url) - page_id % 2)").alias("url"), urls.crawl_host(F.col("url")).alias("site"), F.col("page_id").alias("seq"))
+
+
+@REGISTRY.query(f"SELECT * FROM {_INTERLEAVED}")
+def q_interleave(spark, sf_dir):
+    return frontier.interleave(_seeds(spark, sf_dir), 40)
+
+
+@REGISTRY.query(f"SELECT place, ntile(6) OVER (ORDER BY place) AS slice FROM {_INTERLEAVED}")
+def q_seed_slices(spark, sf_dir):
+    return frontier.slices(frontier.interleave(_seeds(spark, sf_dir), 40)).select("place", "slice")
+
+
+@REGISTRY.query("""SELECT count(*)::BIGINT AS seen, count(*) FILTER (page_id % 4 = 0)::BIGINT AS skipped_offsite, count(*) FILTER (page_id % 4 <> 0 AND contains(url, '.html'))::BIGINT AS skipped_assets,
+    count(*) FILTER (page_id % 4 <> 0 AND NOT contains(url, '.html'))::BIGINT AS queued, count(*) FILTER (page_id % 3 = 0)::BIGINT AS sitemaps, count(*) FILTER (page_id % 5 = 0)::BIGINT AS disallowed, count(*) FILTER (page_id % 7 = 0)::BIGINT AS redirected_offsite FROM pages""")
+def q_crawl_counters(spark, sf_dir):
+    i = F.col("page_id")
+    return analytics.crawl_counters(table(spark, sf_dir, "pages").select(F.when(i % 3 == 0, "sitemap").otherwise("page").alias("kind"), (i % 4 == 0).alias("off_site"), F.col("url").contains(".html").alias("asset"), (i % 5 == 0).alias("disallowed"), (i % 7 == 0).alias("redirected")))
+
+
+@REGISTRY.query("SELECT CASE WHEN kind = 'text/html' THEN 'page' WHEN kind = 'application/xml' OR regexp_matches(url, '\\.xml$') THEN 'sitemap' ELSE 'page' END AS class, count(*)::BIGINT AS n FROM (SELECT url, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/xml' END AS kind FROM pages) GROUP BY 1")
+def q_classify(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 1, "application/xml")
+    return table(spark, sf_dir, "pages").groupBy(urls.classify(F.col("url"), kind).alias("class")).agg(F.count("*").alias("n"))
+
+
+@REGISTRY.query("SELECT status, status = 404 AS allow_all, CASE WHEN status = 404 THEN 86400 ELSE 300 END::BIGINT AS ttl_s FROM (SELECT unnest([404, 500, 403])::BIGINT AS status)")
+def q_robots_missing(spark, sf_dir):
+    return spark.createDataFrame([(404,), (500,), (403,)], "status long").select("status", robots.policy_when_missing(F.col("status")).alias("p")).select("status", "p.*")
+
+
+@REGISTRY.query("SELECT n, ceil(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS bits, greatest(1, round(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS hashes FROM (SELECT unnest([1000, 5000000, 100000000])::BIGINT AS n)")
+def q_bloom_size(spark, sf_dir):
+    return spark.createDataFrame([(n, *frontier.bloom_size(n, 0.01)[:2]) for n in (1000, 5_000_000, 100_000_000)], "n long, bits long, hashes long")
+
+
+@REGISTRY.query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES_SQL}), r AS (SELECT url, 0 AS depth FROM pages WHERE page_id < 2 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
+    SELECT c.canonical AS url, min(depth)::BIGINT AS depth FROM r JOIN {CANONICAL} c USING (url) GROUP BY 1""")
+def q_crawl_levels(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    canonical = urls.canonical_url(F.col("url"))
+    links = page_edges(pages).select(urls.canonical_url(F.col("src")).alias("url"), urls.canonical_url(F.col("dst")).alias("dst")).groupBy("url").agg(F.collect_list("dst").alias("links"))
+    web = pages.select(canonical.alias("url")).join(links, "url", "left")
+    return frontier.crawl(web, pages.filter("page_id < 2").select("url"))

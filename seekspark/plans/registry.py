@@ -52,7 +52,7 @@ EDGES_SQL = """(SELECT DISTINCT s.url AS src, d.url AS dst FROM pages s, (SELECT
 NOW = 1_700_000_000
 FETCHED_SQL = f"({NOW} - (page_id % 120) * 86400)"
 QLOG_SQL = """(SELECT event_id AS seq, event_type AS query, value AS took_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS total_matches,
-    least(CAST(json_extract(props, '$.k') AS BIGINT), 10) AS returned, user_id % 2 = 0 AS cached, event_type = 'error' AS failed, CAST(epoch(ts) AS BIGINT) AS at FROM events)"""
+    least(CAST(json_extract(props, '$.k') AS BIGINT), 10) AS returned, user_id % 2 = 0 AS cached, event_type = 'error' AS failed, CAST(floor(epoch(ts)) AS BIGINT) AS "at" FROM events)"""
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
