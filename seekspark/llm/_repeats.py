@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm._arrow import U64, sliding, trailing
+from seekspark.llm._arrow import U64, mix, sliding, trailing
 from seekspark.llm._shared import partitions
 
 TOP = U64(2**64 - 1)
@@ -38,6 +38,10 @@ def buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> U64(40)) * U64(n)) >> U64(24)).astype(np.int64)
 
 
+def again(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ U64(0x5851F42D4C957F2D))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one length as bytes, planes of equal significance together, so that block compression removes the high ones."""
     n = len(arrays[0])
@@ -73,7 +77,8 @@ class Anchors:
         self.w, self.valid = w, valid_window
         self.least = sliding(self.h, w)
         self.at = np.flatnonzero((trailing(np.where(valid_window, self.least, U64(0)), w) == self.h) & valid_gram)
-        self.unique, self.index, count = np.unique(self.h[self.at], return_inverse=True, return_counts=True)
+        # Least hashes crowd at the low end; hashed again they fall evenly into buckets.
+        self.unique, self.index, count = np.unique(again(self.h[self.at]), return_inverse=True, return_counts=True)
         self.twice = count > 1
 
     def candidates(self, elsewhere: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(at, pieces) + nth * STRETCH
         end = np.minimum(start + STRETCH, np.repeat(stop, pieces)) + length - 1
-        gram_hash = found.least[start]
+        gram_hash = _repeats.again(found.least[start])
         row = np.searchsorted(offsets, start, "right") - 1
         ids = int64(table.column("id"))[row]
         raw, seen = data.tobytes(), {}
