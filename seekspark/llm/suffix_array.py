@@ -18,46 +18,44 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _sort_directly(text: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The chosen suffixes in order, by keys of some symbols, further along for those that are still equal. A separator ends a comparison; place decides then."""
+def sort_keys(text: np.ndarray) -> np.ndarray:
+    """For each place, and one behind the last, the next symbols as one number; zeros stand behind a separator."""
     n = len(text)
     wide = np.zeros(n + PER_KEY, np.uint64)
     wide[:n] = text
-    # Behind a separator a key holds zeros only, so texts part there.
-    key = np.zeros(n + 1, np.uint64)
-    for j in range(PER_KEY):
-        key[:n] = (key[:n] << np.uint64(9)) | wide[j : j + n]
-    mask = np.zeros(n, np.uint64)
-    open_ = np.ones(n, bool)
+    key, live = np.zeros(n + 1, np.uint64), np.ones(n, np.uint64)
     for j in range(PER_KEY):
-        open_ &= wide[j : j + n] != 0
-        mask |= np.where(open_, np.uint64(0x1FF << (9 * (PER_KEY - 1 - j))), np.uint64(0))
-    key[:n] &= mask
+        live &= wide[j : j + n] != 0
+        key[:n] = (key[:n] << np.uint64(9)) | (wide[j : j + n] * live)
+    return key
+
+
+def _sort_directly(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen suffixes in order, by keys of some symbols, further along for those that are still equal. A separator ends a comparison; place decides then."""
+    n = len(key) - 1
     order = chosen[np.argsort(key[chosen], kind="stable")]
-    rank_key = key[order]
     places = np.arange(len(order))
     new = np.ones(len(order), bool)
-    new[1:] = rank_key[1:] != rank_key[:-1]
+    new[1:] = key[order[1:]] != key[order[:-1]]
     # A group of suffixes that are equal so far is named by the place of its first member.
     group = np.maximum.accumulate(np.where(new, places, 0))
-    depth = PER_KEY
-    active = places
-    while len(active):
+    active, depth = places, PER_KEY
+    while True:
         g = group[active]
-        size = np.bincount(g)[g]
-        active = active[(size > 1) & ((key[np.minimum(order[active] + depth - PER_KEY, n)] & np.uint64(0x1FF)) != 0)]
+        alone = np.ones(len(active) + 1, bool)
+        alone[1:-1] = g[1:] != g[:-1]
+        active = active[~(alone[:-1] & alone[1:]) & ((key[order[active] + depth - PER_KEY] & np.uint64(0x1FF)) != 0)]
         if not len(active):
-            break
+            return order
         at, g = order[active], group[active]
         k = key[np.minimum(at + depth, n)]
-        by = np.lexsort((at, k, g))
+        by = np.lexsort((k, g))
         order[active] = at[by]
         k, g = k[by], g[by]
         new = np.ones(len(active), bool)
         new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
         group[active] = active[np.maximum.accumulate(np.where(new, places[: len(active)], 0))]
         depth += PER_KEY
-    return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -86,7 +84,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     out = np.full(n, -1, np.int64)
     out[: sizes[0]] = np.flatnonzero(separator)
     chosen = np.flatnonzero(direct & ~separator)
-    ordered = _sort_directly(text, chosen)
+    ordered = _sort_directly(sort_keys(text), chosen)
     first = text[ordered]
     counts = np.bincount(first, minlength=len(sizes))
     starts = np.cumsum(counts) - counts
@@ -123,15 +121,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place but the first in ``order``, how many symbols its suffix shares with the one before it: ``most`` at most, and none past a separator."""
-    n = len(text)
-    wide = np.zeros(n + most + 1, np.int64)
-    wide[:n] = text
+    key, n = sort_keys(text), len(text)
     shared = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
-    for depth in range(most):
-        if not len(live):
-            break
-        a, b = wide[order[live] + depth], wide[order[live - 1] + depth]
-        live = live[(a == b) & (a != 0)]
-        shared[live] += 1
-    return shared
+    for depth in range(0, most, PER_KEY):
+        a, b = key[np.minimum(order[live] + depth, n)], key[np.minimum(order[live - 1] + depth, n)]
+        # The leading symbols that are equal, and no separators.
+        equal, apart = np.zeros(len(live), np.int64), a ^ b
+        for j in range(PER_KEY - 1, -1, -1):
+            equal += ((apart >> np.uint64(9 * j)) == 0) & ((a >> np.uint64(9 * j)) & np.uint64(0x1FF) != 0)
+        shared[live] += equal
+        live = live[equal == PER_KEY]
+    return np.minimum(shared, most)
