@@ -45,16 +45,17 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of each row; ``fp`` holds the 64 bits as a signed long. A null text counts as empty: fingerprint 0."""
+    """(id, fp, text_hash) of each row; ``fp`` holds the 64 bits as a signed long. A null text counts as empty: fingerprint 0."""
 
     def each(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw = data.tobytes()
             fps = np.array([fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(each, "id long, fp long, text_hash long")
 
 
 def _keys(most: int):
@@ -152,7 +153,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """(id, fp, component) of each row of ``docs``: fingerprints at ``most`` or fewer bits are linked, ``component`` is the least id that links reach.
+    """(id, fp, text_hash, component) of each row of ``docs``: fingerprints at ``most`` or fewer bits are linked, ``component`` is the least id that links reach.
 
     Repeated rows stay repeated. Texts without words, null ones among them, have fingerprint 0 and are linked like any other. A
     null id takes part, but is least only where no row of the component has an id. Other columns are not read. An empty table
@@ -162,10 +163,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     nodes = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
     rooted = nodes.join(components(links(nodes, most)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return marked.join(named, "fp").select("id", "fp", "component")
+    return marked.join(named, "fp").select("id", "fp", "text_hash", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, once each; columns as they are. Nulls as in :func:`classes`; a row without an id goes where one of its component has an id, else one such row of the component's fingerprint stays."""
-    kept = classes(docs, id_col, text_col, most).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).groupBy("__id").agg(F.min("__fp"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` whose id is the least of their component, once each; columns as they are.
+
+    Nulls as in :func:`classes`: rows without an id go where their component has a row with one; of all others without an id one
+    stays. Of several rows of a kept id with different texts one stays: that with the least fingerprint, then text hash.
+    """
+    first = F.min(F.struct("fp", "text_hash")).alias("f")
+    kept = classes(docs, id_col, text_col, most).filter(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("__id")).agg(first).select("__id", F.col("f.text_hash").alias("__hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col])
