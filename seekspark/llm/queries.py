@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from seekspark.llm import chat, decontam, licenses, packing, pii, quality, simhash, substring, suffix_dedup, toxicity
 from seekspark.llm._shared import table
+from seekspark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 #: For the queries here; a real run takes its own, kept secret.
 PII_KEY = "surrogates of the sample tables"
 

@@ -124,21 +124,20 @@ def test_toxicity(spark, nothing, edges):
     assert kept.columns == docs.columns and kept.join(labels.filter("toxic = 0"), "doc_id").count() >= 0.98 * (len(truth) - sum(truth.values()))
 
 
-def test_pairs_count(spark):
-    """Two terms that are toxic only together: what weights alone can't learn."""
+def test_interaction_is_learned():
+    """Terms 1 and 2 harm only together; either alone is as harmless as neither."""
     rng = np.random.default_rng(1)
-    texts, labels = [], []
-    for _ in range(3000):
-        a, b = rng.random(2) < 0.5
-        extra = rng.integers(10, 60, 8)
-        texts.append(np.unique(np.concatenate([[1] * a, [2] * b, extra]).astype(np.int64)))
-        labels.append(float(a != b))
-    y = np.array(labels)
-    model = toxicity.fit(texts, y, epochs=40)
-    base = toxicity.LEAST_Z
-    assert base > 0 and model.vectors.shape == (1 << toxicity.BITS, toxicity.RANK)
-    toxic = [(t, v) for t, v in zip(texts, y)]
-    assert toxic
+
+    def draw(n):
+        pairs = rng.random((n, 2)) < 0.5
+        texts = [np.unique(np.concatenate([np.flatnonzero(p) + 1, rng.integers(10, 60, 8)])) for p in pairs]
+        return texts, pairs.all(axis=1).astype(float)
+
+    model = toxicity.fit(*draw(3000), epochs=40)
+    fresh, labels = draw(1000)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in fresh])])
+    assert ((model.scores(np.concatenate(fresh), bounds) >= 0.5) == (labels == 1)).mean() > 0.97
+    assert model.vectors[1] @ model.vectors[2] > 0
 
 
 def test_no_labels(spark, repeated):
