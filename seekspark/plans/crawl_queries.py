@@ -88,29 +88,31 @@ def q_upsert_latest(spark, sf_dir):
 _SEEN = "(SELECT page_id, canonical AS url FROM {c} WHERE page_id >= 0)".format(c=CANONICAL)
 
 
-@REGISTRY.query(f"SELECT url FROM {_SEEN} WHERE page_id % 3 <> 0")
+@REGISTRY.query(f"SELECT url FROM {_SEEN} WHERE NOT starts_with(url, 'http://')")
 def q_seen_anti(spark, sf_dir):
+    """Pages that weren't seen, where all of plain http were."""
     known = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
-    return known.join(known.filter("page_id % 3 = 0").select("url"), "url", "left_anti").select("url")
+    return known.join(known.filter(F.col("url").startswith("http://")).select("url"), "url", "left_anti").select("url")
 
 
 _WEB_HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-9]*$', '')"
 
 
-@REGISTRY.query(f"SELECT page_id FROM pages WHERE {_WEB_HOST} IN (SELECT {_WEB_HOST} FROM pages WHERE page_id < 10)")
+@REGISTRY.query(f"SELECT page_id FROM pages WHERE {_WEB_HOST} IN (SELECT {_WEB_HOST} FROM pages WHERE starts_with(url, 'https://'))")
 def q_scope_semi(spark, sf_dir):
+    """Pages of the hosts that have a page on https."""
     pages = table(spark, sf_dir, "pages").withColumn("host", urls.crawl_host(F.col("url")))
-    return pages.join(pages.filter("page_id < 10").select("host"), "host", "left_semi").select("page_id")
+    return pages.join(pages.filter(F.col("url").startswith("https://")).select("host"), "host", "left_semi").select("page_id")
 
 
-@REGISTRY.query(f"""SELECT url, min(page_id)::BIGINT AS seq, 1::BIGINT AS depth FROM {_SEEN} WHERE page_id % 4 < 3 AND {_WEB_HOST} IN (SELECT {_WEB_HOST} FROM pages WHERE page_id < 20)
-    AND url NOT IN (SELECT url FROM {_SEEN} WHERE page_id % 5 = 0) GROUP BY url""")
+@REGISTRY.query(f"SELECT url, min(page_id)::BIGINT AS seq, 1::BIGINT AS depth FROM {_SEEN} WHERE ends_with({_WEB_HOST}, '.org') AND NOT starts_with(url, 'http://') GROUP BY url")
 def q_schedule(spark, sf_dir):
+    """All pages as links, twice; the scope is the hosts under .org, and plain http was seen."""
     pages = table(spark, sf_dir, "pages")
-    links = pages.filter("page_id % 4 < 3").select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq")).unionAll(pages.filter("page_id % 4 < 2").select("url", F.lit(0), F.col("page_id")))
-    seen = pages.filter("page_id % 5 = 0").select(urls.canonical_url(F.col("url")).alias("url"))
-    scope = pages.filter("page_id < 20").select(urls.crawl_host(F.col("url")).alias("host"))
-    return frontier.schedule(links, seen, scope).select("url", "seq", "depth")
+    links = pages.select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
+    seen = pages.filter(F.col("url").startswith("http://")).select(urls.canonical_url(F.col("url")).alias("url"))
+    scope = pages.select(urls.crawl_host(F.col("url")).alias("host")).filter(F.col("host").endswith(".org"))
+    return frontier.schedule(links.unionAll(links), seen, scope).select("url", "seq", "depth")
 
 
 def _frontier(spark, sf_dir):
@@ -218,11 +220,11 @@ def q_bloom_size(spark, sf_dir):
     return spark.createDataFrame([(n, *frontier.bloom_size(n, 0.01)[:2]) for n in (1000, 5_000_000, 100_000_000)], "n long, bits long, hashes long")
 
 
-@REGISTRY.query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES_SQL}), r AS (SELECT url, 0 AS depth FROM pages WHERE page_id < 2 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
+@REGISTRY.query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES_SQL}), r AS (SELECT url, 0 AS depth FROM pages WHERE regexp_matches(url, '://(www|blog)') UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
     SELECT c.canonical AS url, min(depth)::BIGINT AS depth FROM r JOIN {CANONICAL} c USING (url) GROUP BY 1""")
 def q_crawl_levels(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     canonical = urls.canonical_url(F.col("url"))
     links = page_edges(pages).select(urls.canonical_url(F.col("src")).alias("url"), urls.canonical_url(F.col("dst")).alias("dst")).groupBy("url").agg(F.collect_list("dst").alias("links"))
     web = pages.select(canonical.alias("url")).join(links, "url", "left")
-    return frontier.crawl(web, pages.filter("page_id < 2").select("url"))
+    return frontier.crawl(web, pages.filter(F.col("url").rlike("://(www|blog)")).select("url"))

