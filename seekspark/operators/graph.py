@@ -48,7 +48,7 @@ def _kernel(nodes: DataFrame, edges: DataFrame, c: GraphConfig) -> DataFrame:
     """All iterations in one task, for graphs of a checked size."""
     rows = nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).union(edges.select("src", "dst"))
 
-    def run(_, batch: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(batch.loc[batch["b"].isna(), "a"].to_numpy(object))
         links = batch[batch["b"].notna()]
         src, dst = np.searchsorted(names, links["a"].to_numpy(object)), np.searchsorted(names, links["b"].to_numpy(object))

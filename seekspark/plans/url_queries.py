@@ -44,39 +44,40 @@ def all_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").union(spark.sql(f"SELECT CAST(page_id AS BIGINT), url FROM {_ROWS}"))
 
 
-_URL = F.col("url")
+def _url():
+    return F.col("url")
 
 
 @REGISTRY.query(f"SELECT page_id, canonical FROM {CANONICAL}")
 def q_canonical_url(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.canonical_url(_URL).alias("canonical"))
+    return all_urls(spark, sf_dir).select("page_id", urls.canonical_url(_url()).alias("canonical"))
 
 
 @REGISTRY.query(f"SELECT page_id, unnest({_PAIRS}) AS pair, unnest(list_transform({_PAIRS}, lambda x: {_TRACKING})) AS tracking FROM {PARTS}")
 def q_tracking_params(spark, sf_dir):
-    pairs = F.filter(F.split(urls.query(_URL), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(urls.query(_url()), "&"), lambda p: p != "")
     return all_urls(spark, sf_dir).select("page_id", F.explode(pairs).alias("pair")).withColumn("tracking", urls.is_tracking_param(F.substring_index("pair", "=", 1)))
 
 
 @REGISTRY.query(f"""SELECT page_id, CASE WHEN s IN ('http', 'https') AND netloc <> '' AND NOT regexp_matches(lower(p), '\\.({"|".join(sorted(urls.SEED_ASSETS))})$') THEN s || '://' || netloc || p || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS seed
     FROM (SELECT *, list_filter({_PAIRS}, lambda x: NOT regexp_matches(split_part(x, '=', 1), '{urls.SEED_TRACKING}')) AS kept FROM {PARTS})""")
 def q_seed_canonical(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.canonical_seed(_URL).alias("seed"))
+    return all_urls(spark, sf_dir).select("page_id", urls.canonical_seed(_url()).alias("seed"))
 
 
 @REGISTRY.query(f"""SELECT page_id, nullif(regexp_replace(a, ':[0-9]*$', ''), '') AS crawl_host, nullif(lower(regexp_extract(url, '://([^/?#]*)', 1)), '') AS graph_host, {RANK_HOST} AS rank_host FROM {PARTS}""")
 def q_host_variants(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.crawl_host(_URL).alias("crawl_host"), urls.graph_host(_URL).alias("graph_host"), urls.rank_host(_URL).alias("rank_host"))
+    return all_urls(spark, sf_dir).select("page_id", urls.crawl_host(_url()).alias("crawl_host"), urls.graph_host(_url()).alias("graph_host"), urls.rank_host(_url()).alias("rank_host"))
 
 
 @REGISTRY.query(f"SELECT page_id, {LABEL} AS label FROM {U}")
 def q_host_label(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.host_label(_URL).alias("label"))
+    return all_urls(spark, sf_dir).select("page_id", urls.host_label(_url()).alias("label"))
 
 
 @REGISTRY.query(f"SELECT page_id, len({SEGMENTS})::BIGINT AS n, array_to_string({SEGMENTS}, '/') AS segments, array_to_string({_PARAMS}, '&') AS params FROM {U}")
 def q_path_segments(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", F.size(urls.path_segments(_URL)).alias("n"), F.array_join(urls.path_segments(_URL), "/").alias("segments"), F.array_join(urls.query_param_names(_URL), "&").alias("params"))
+    return all_urls(spark, sf_dir).select("page_id", F.size(urls.path_segments(_url())).alias("n"), F.array_join(urls.path_segments(_url()), "/").alias("segments"), F.array_join(urls.query_param_names(_url()), "&").alias("params"))
 
 
 _LAST = r"regexp_replace(lower(string_split(p, '/')[-1]), '\.gz$', '')"
@@ -84,22 +85,22 @@ _LAST = r"regexp_replace(lower(string_split(p, '/')[-1]), '\.gz$', '')"
 
 @REGISTRY.query(f"SELECT page_id, s <> '' AND regexp_extract({_LAST}, '^.+\\.([^.]*)$', 1) NOT IN ({names(urls.NOT_PAGES)}) AS page, s <> '' AND regexp_matches(lower(p), '\\.xml(\\.gz)?$') AS sitemap FROM {PARTS}")
 def q_is_page(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.is_probably_page(_URL).alias("page"), urls.is_sitemap_url(_URL).alias("sitemap"))
+    return all_urls(spark, sf_dir).select("page_id", urls.is_probably_page(_url()).alias("page"), urls.is_sitemap_url(_url()).alias("sitemap"))
 
 
 @REGISTRY.query(f"SELECT page_id, {SEARCH} AS search_view, {LEGAL} AS legal FROM {U}")
 def q_search_view_legal(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.is_search_view(_URL).alias("search_view"), urls.is_legal(_URL).alias("legal"))
+    return all_urls(spark, sf_dir).select("page_id", urls.is_search_view(_url()).alias("search_view"), urls.is_legal(_url()).alias("legal"))
 
 
 @REGISTRY.query(f"SELECT page_id, round({QUALITY}, 6) AS quality FROM {U}")
 def q_url_quality(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", F.round(urls.url_quality(_URL), 6).alias("quality"))
+    return all_urls(spark, sf_dir).select("page_id", F.round(urls.url_quality(_url()), 6).alias("quality"))
 
 
 @REGISTRY.query(f"SELECT page_id, p || q AS request_path, CASE WHEN s IN ('http', 'https') AND a <> '' THEN s || '://' || a || '/robots.txt' END AS robots FROM {PARTS}")
 def q_request_path(spark, sf_dir):
-    return all_urls(spark, sf_dir).select("page_id", urls.request_path(_URL).alias("request_path"), urls.robots_url(_URL).alias("robots"))
+    return all_urls(spark, sf_dir).select("page_id", urls.request_path(_url()).alias("request_path"), urls.robots_url(_url()).alias("robots"))
 
 
 _PLAIN = f"replace(replace(replace(replace({TITLE}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
