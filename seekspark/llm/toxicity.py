@@ -25,6 +25,8 @@ SAMPLE = 20_000
 #: Distinct terms of a text that fitting uses, at most (the least by hash); scoring uses all.
 FIT_TERMS = 4_000
 RANK = 6
+#: Samples of up to so many rows are joined by broadcast.
+BROADCAST_ROWS = 500_000
 #: Bytes of a longer word that are a term too.
 STEMS = (4, 6)
 #: Terms whose share differs less between the classes, in standard errors, keep zero weights.
@@ -127,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     key = F.col(id_col).cast("long")
     chosen = labels.filter(key.isNotNull() & F.col(label_col).isNotNull() & ~held_out(key)).groupBy(key.alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    # At most ``sample`` rows of 16 bytes: small samples spare the texts a shuffle.
+    chosen = F.broadcast(chosen) if sample <= BROADCAST_ROWS else chosen
     rows = docs.filter(F.col(text_col).isNotNull()).select(key.alias("__id"), F.col(text_col).cast("string").alias("__text")).join(chosen, "__id").select("__id", "__label", "__text")
 
     def each(batches):
