@@ -18,15 +18,28 @@ _EITHER = "Dr|Prof"
 GIVEN_MALE = "James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Matthew|Mark|Paul|Steven|Andrew|Peter|Hans|Klaus|Jürgen|Wolfgang|Stefan|Pierre|Jean|Jacques|Michel|François|Carlos|José|Juan|Luis|Miguel|Javier|Иван|Сергей|Дмитрий|Алексей|Γιώργος|Νίκος"
 GIVEN_FEMALE = "Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Nancy|Lisa|Margaret|Emily|Emma|Anna|Ursula|Monika|Petra|Sabine|Claudia|Marie|Sophie|Isabelle|Nathalie|Camille|María|Carmen|Lucía|Elena|Isabel|Ольга|Наталья|Елена|Мария|Ελένη"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What may stand between the digits of a phone number.
+_GAP = r"[ \u00a0.\u2010\u2011-]"
+_PHONES = (
+    rf"(?:\+\d{{1,3}}{_GAP}?|(?<!\d)1{_GAP}?)?\(\d{{3}}\){_GAP}?\d{{3}}{_GAP}?\d{{4}}(?!\d)",
+    rf"\(0\d{{1,4}}\)(?:[/]|{_GAP})?\d(?:{_GAP}?\d){{4,8}}(?!\d)",
+    rf"(?:\+1{_GAP}?|(?<!\d)(?<!\d[.-])(?:1{_GAP})?)\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)",
+    rf"\+[1-9](?:(?:/|{_GAP})?(?:\(\d{{1,4}}\){_GAP}?)?\d){{7,14}}(?!\d)",
+    r"\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)",
+    # Trunk or international zeros before grouped digits, but no date and no decimals.
+    rf"(?<!\d)(?<!\d[.,/-])(?!\d\d[./-]\d\d[./-]\d{{4}})(?=0{{1,2}}[1-9]\d{{0,3}}(?:/|{_GAP})\d)0(?:0[1-9](?:(?:/|{_GAP})?\d){{7,12}}|[1-9](?:(?:/|{_GAP})?\d){{7,10}})(?!\d)",
+)
+_SECRETS = "password|passwd|passphrase|passcode|pwd|token|secret|api[_ -]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?key"
 #: In order: where several could begin at one place, the first is taken.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"""(?<=(?:password|passwd|pwd|token|secret|api_key|apikey|Password|Token|Secret)\s{0,2}[=:]\s{0,2}["']?)[^\s"',;&<>]{6,}""",
+    # The first look-behind is part of the second, and spares most places the longer one.
+    "secret": rf"""(?<=[=:>]\s{{0,2}}["']?)(?<=(?i:{_SECRETS})["']?\]?\s{{0,2}}(?:[=:]{{1,2}}|=>)\s{{0,2}}["']?)[^\s"',;&<>]{{6,}}""",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
+    "phone": "|".join(_PHONES),
     "person": rf"\b(?=\p{{Lu}})(?:(?:{_MALE}|{_FEMALE}|{_EITHER})\.?(?: {_NAME}){{1,3}}|(?:{GIVEN_MALE}|{GIVEN_FEMALE})(?: {_NAME}){{1,2}})",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -59,7 +72,7 @@ def _array(items: list[str]) -> str:
 def kind_of(mention: Column) -> Column:
     """The type of a mention, by its own form; what has none is a secret."""
     out = None
-    for kind in ("email", "key", "ssn", "ip", "phone", "card", "person"):
+    for kind in ("email", "key", "ssn", "ip", "card", "phone", "person"):
         fits = mention.rlike(f"^(?:{PATTERNS[kind]})$")
         out = F.when(fits, kind) if out is None else out.when(fits, kind)
     return out.otherwise("secret")
@@ -93,8 +106,8 @@ def _drawn(attempt: int) -> str:
         WHEN c RLIKE '[a-z]' THEN char(97 + {r('i', 26)}) WHEN c RLIKE '[A-Z]' THEN char(65 + {r('i', 26)}) ELSE c END)[0]), '')"""
     letters = "array_join(transform(sequence(1, 10), i -> char(97 + " + r("i", 26, "__d") + ")), '')"
     ip = f"concat_ws('.', {'10' if not attempt else '240 + ' + r(0, 15)}, {r(1, 256)}, {r(2, 256)}, 1 + {r(3, 254)})"
-    # Country codes of one digit (1, 7) stay; area and exchange begin with 2 to 9.
-    phone = f"array_join(transform(sequence(1, length(canon)), i -> CASE WHEN i = 1 AND length(canon) > 10 THEN substr(canon, 1, 1) WHEN length(canon) = 11 AND i IN (2, 5) THEN cast(2 + {r('i', 8)} AS string) ELSE cast({r('i', 10)} AS string) END), '')"
+    # Leading zeros and country codes of one digit (1, 7) stay; area and exchange begin with 2 to 9.
+    phone = f"array_join(transform(sequence(1, length(canon)), i -> CASE WHEN substr(canon, 1, i) IN ('0', '00') THEN '0' WHEN i = 1 AND length(canon) > 10 THEN substr(canon, 1, 1) WHEN length(canon) = 11 AND i IN (2, 5) THEN cast(2 + {r('i', 8)} AS string) ELSE cast({r('i', 10)} AS string) END), '')"
     body = f"concat(substr(canon, 1, 1), array_join(transform(sequence(2, 15), i -> cast({r('i', 10)} AS string)), ''))"
     card = f"transform(array({body}), b -> concat(b, coalesce(if(luhn_check(canon), filter(transform(sequence(0, 9), c -> cast(c AS string)), c -> luhn_check(concat(b, c)))[0], cast({r(20, 10)} AS string)), '0')))[0]"
     ssn = f"concat('9', array_join(transform(sequence(2, 9), i -> cast({r('i', 10)} AS string)), ''))"
@@ -152,8 +165,8 @@ def _rendered(part: Column, surrogate: Column) -> Column:
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", found_col: str | None = "n_found") -> DataFrame:
     """``docs`` with every mention in its texts replaced, and the number of mentions as ``found_col`` (None: without it).
 
-    ``key`` makes surrogates unguessable and, kept, repeatable. Types: email, access key, secret after ``password=`` and the like,
-    social security number, IPv4 address, phone and payment card number, and persons by title or given name (Latin, Cyrillic or
+    ``key`` makes surrogates unguessable and, kept, repeatable. Types: email, access key, secret after ``password=`` and the like in any
+    case, social security number, IPv4 address, phone number in the forms of ``_PHONES`` and payment card number, and persons by title or given name (Latin, Cyrillic or
     Greek script; masculine, feminine or unknown by the title, else the given name). The same number in another spelling is the
     same entity. Texts without a mention, null and empty ones among them, stay as they are. Rows with one id, repeated ones too,
     share one list of entities; a null id is an id. Other columns stay; one named ``found_col`` is replaced. An empty table gives

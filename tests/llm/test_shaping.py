@@ -98,6 +98,23 @@ def test_surrogates(spark, edges, nothing):
     assert pii.replace(edges, "k").count() == edges.count() and pii.replace(nothing, "k").count() == 0
 
 
+def test_phones_and_secrets_of_many_forms(spark):
+    phones = "555-123-4567|555.123.4567|555 123 4567|1-800-555-1234|(555)123-4567|+14695558958|+1.4695558958|+1(469)555-8958|+49 30 1234567|+44 (0)20 7946 0958|020 7946 0958|0151 12345678|030/1234567|01 23 45 67 89|(030) 1234567|0049 30 1234567".split("|")
+    secrets = ["TOKEN = \"{}\"", "PASSWORD={}", "Secret: {}", "API_KEY={}", "Api-Key: {}", "DB_PASSWORD='{}'", "\"access_key\": \"{}\"", "secret_key => '{}'", "token := {}", "apikey={}", "pwd:{}"]
+    value = "9233a8ec41"
+    plain = ["on 01/02/2023, 05.06.2024 and 2023-01-02 03:04:05", "0.123456789 and 1.2.3.4.5", "pages 123-145, +12 percent, ISBN 978-0-306-40615-7", "id 1234567890123"]
+    rows = [(i, f"call {p}, now") for i, p in enumerate(phones)] + [(100 + i, f"x {s.format(value)} y") for i, s in enumerate(secrets)] + [(200 + i, t) for i, t in enumerate(plain)]
+    out = {r["doc_id"]: (r["n_found"], r["text"]) for r in pii.replace(frame(spark, rows), "k").collect()}
+    for i, p in enumerate(phones):
+        n, new = out[i]
+        assert n == 1 and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", rows[i][1]) and p not in new, p
+        assert not p.startswith("0") or new.startswith("call 0")
+    for i, s in enumerate(secrets):
+        n, new = out[100 + i]
+        assert n == 1 and value not in new and re.fullmatch(re.escape(f"x {s} y").replace(r"\{\}", "[0-9a-f]{10}"), new), s
+    assert [out[200 + i] for i in range(len(plain))] == [(0, t) for t in plain]
+
+
 def test_surrogates_stay_distinct(spark):
     """Many entities of a type whose surrogates often meet at first."""
     rows = spark.range(3000).selectExpr("'surname' AS type", "concat('name', id) AS canon").union(spark.range(400).selectExpr("'ip' AS type", "concat('10.0.', id % 200, '.', id) AS canon"))
