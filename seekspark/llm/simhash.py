@@ -152,6 +152,13 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     return grouped.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, text_hash) of each row of ``docs``, and (fp, least, root) of each fingerprint: its least id and the least fingerprint that links reach."""
+    marked = durable(fingerprints(docs, id_col, text_col))
+    nodes = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    return marked, nodes.join(components(links(nodes, most)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """(id, fp, text_hash, component) of each row of ``docs``: fingerprints at ``most`` or fewer bits are linked, ``component`` is the least id that links reach.
 
@@ -159,20 +166,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     null id takes part, but is least only where no row of the component has an id. Other columns are not read. An empty table
     gives no rows.
     """
-    marked = durable(fingerprints(docs, id_col, text_col))
-    nodes = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    rooted = nodes.join(components(links(nodes, most)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked, rooted = _rooted(docs, id_col, text_col, most)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return marked.join(named, "fp").select("id", "fp", "text_hash", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, once each; columns as they are.
+    """One row of ``docs`` for each component: that with the least id, then fingerprint, then text hash; columns as they are.
 
-    Nulls as in :func:`classes`: rows without an id go where their component has a row with one; of all others without an id one
-    stays. Of several rows of a kept id with different texts one stays: that with the least fingerprint, then text hash.
+    A row without an id is kept only where no row of its component has one. An id that stands in several components, null too,
+    may be kept in each.
     """
-    first = F.min(F.struct("fp", "text_hash")).alias("f")
-    kept = classes(docs, id_col, text_col, most).filter(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("__id")).agg(first).select("__id", F.col("f.text_hash").alias("__hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col])
+    marked, rooted = _rooted(docs, id_col, text_col, most)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("f")
+    kept = marked.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("f.id").alias("__id"), F.col("f.text_hash").alias("__hash"))
+    own, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    # Equal texts share a component, so id and text hash tell the kept rows, and leave only copies of one row.
+    return docs.join(kept, own.eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi").withColumn("__id", own).withColumn("__hash", text_hash).dropDuplicates(["__id", "__hash"]).select(*docs.columns)

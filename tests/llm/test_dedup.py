@@ -111,6 +111,15 @@ def test_one_of_each(edges, edge_rows, repeated):
     assert [r["doc_id"] for r in left if r["doc_id"] != 2] == [1] and [r["text"] for r in left if r["doc_id"] == 2] == [None]
 
 
+def test_every_component_keeps_a_row(spark):
+    """Unrelated rows stay, without an id or under one that others have; a copy with an id stands for those without."""
+    a, b, c, d, e = (prose(random.Random(i), 80, 5000) for i in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, e), (9, e), (8, c)]
+    assert len({brute.fingerprint(t) for t in (a, b, c, d, e)}) == 5
+    left = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(frame(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5), (None, 1)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
