@@ -22,8 +22,6 @@ from seekspark.llm.decontam import LOWER, PARTING
 BITS = 18
 #: Labelled rows that a model is fitted on, at most: those whose hashed id is least.
 SAMPLE = 20_000
-#: Distinct terms of a text that fitting uses, at most (the least by hash); scoring uses all.
-FIT_TERMS = 4_000
 RANK = 6
 #: Samples of up to so many rows are joined by broadcast.
 BROADCAST_ROWS = 500_000
@@ -125,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model fitted on labelled rows that aren't held out: the ``sample`` of them, at most, whose hashed ids are least.
 
     Rows without an id, a label or a text are left out; of several labels for an id the largest counts. Only ids, labels and
-    hashed terms, at most ``FIT_TERMS`` for a text, come to the driver.
+    the hashed terms of the sampled texts come to the driver, all of them: four bytes a term, 2**BITS terms of a text at most.
     """
     key = F.col(id_col).cast("long")
     chosen = labels.filter(key.isNotNull() & F.col(label_col).isNotNull() & ~held_out(key)).groupBy(key.alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
@@ -137,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             terms, bounds = terms_of(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms[a : min(b, a + FIT_TERMS)].astype(np.int32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["id", "label", "terms"])
 
     got = sorted((r.id, bytes(r.terms), r.label) for r in rows.mapInArrow(each, "id long, label int, terms binary").toLocalIterator())
     return fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([x for *_, x in got], np.float64))

@@ -140,6 +140,22 @@ def test_interaction_is_learned():
     assert model.vectors[1] @ model.vectors[2] > 0
 
 
+def test_fit_on_all_terms(spark, monkeypatch):
+    """Every term of a long text counts in fitting, whatever its hash."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(6000)) + " " + prose(rng, 20)) for i in range(8)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: seen.extend(map(len, texts)))
+    toxicity.train(frame(spark, rows), labels)
+    want = []
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            data = np.frombuffer(t.encode(), np.uint8)
+            want.append(len(toxicity.terms_of(data, np.array([0, len(data)]))[0]))
+    assert sorted(seen) == sorted(want) and min(want) > 5000
+
+
 def test_no_labels(spark, repeated):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     scores = {r["score"] for r in toxicity.score(repeated, toxicity.train(repeated, none)).collect()}
