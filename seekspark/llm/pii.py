@@ -44,7 +44,7 @@ PATTERNS = {
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without a match of this has no mention.
-HINT = rf"[0-9@=:]|\b(?=\p{{Lu}})(?:{_MALE}|{_FEMALE}|{_EITHER}|{GIVEN_MALE}|{GIVEN_FEMALE})\b"
+HINT = rf"[0-9@=:]|\bAKIA|\b(?=\p{{Lu}})(?:{_MALE}|{_FEMALE}|{_EITHER}|{GIVEN_MALE}|{GIVEN_FEMALE})\b"
 DIGITS = ("phone", "card", "ssn")
 #: Rounds of drawing again for entities whose surrogate is taken; a space that is used up ends in an error, not in a repeated surrogate.
 ROUNDS = 64
