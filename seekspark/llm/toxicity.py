@@ -27,8 +27,10 @@ RANK = 6
 BROADCAST_ROWS = 500_000
 #: Bytes of a longer word that are a term too.
 STEMS = (4, 6)
-#: Terms whose share differs less between the classes, in standard errors, keep zero weights.
+#: Terms whose share differs less between the classes, in standard errors, keep a zero weight; they have a vector if ``EVEN_TEXTS`` texts hold them, drawn to zero ``EVEN_DECAY`` times as strongly as others.
 LEAST_Z = 3.0
+EVEN_TEXTS = 20
+EVEN_DECAY = 400.0
 SLICE = 2 << 20
 
 
@@ -68,7 +70,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5, batch: int = 256, seed: int = 7) -> Model:
-    """A factorization machine fitted by AdaGrad on the logistic loss, classes weighted alike up to a ratio of 4. Terms of fewer than three texts, or as frequent in either class (``LEAST_Z``), keep zero weights. Without labels of both kinds it is constant."""
+    """A factorization machine fitted by AdaGrad on the logistic loss, classes weighted alike up to a ratio of 4. Terms of fewer than three texts keep zero weights and vectors; those as frequent in either class (``LEAST_Z``) zero weights, and of fewer than ``EVEN_TEXTS`` texts zero vectors. Without labels of both kinds it is constant."""
     model = Model(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)))
     share = labels.mean() if len(labels) else 0.0
     model.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -80,7 +82,10 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
     held, held_one = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (texts, ones))
     p = held / n_all
     error = np.sqrt(p * (1 - p) * (1 / n_one + 1 / (n_all - n_one))) + 1e-12
-    known = np.flatnonzero((held >= 3) & (np.abs(held_one / n_one - (held - held_one) / (n_all - n_one)) >= LEAST_Z * error))
+    uneven = (held >= 3) & (np.abs(held_one / n_one - (held - held_one) / (n_all - n_one)) >= LEAST_Z * error)
+    known = np.flatnonzero(uneven | (held >= EVEN_TEXTS))
+    uneven = uneven[known]
+    decay_v = 5 * decay * np.where(uneven, 1.0, EVEN_DECAY)
     if not len(known):
         return model
     compact = np.full(1 << BITS, -1)
@@ -99,12 +104,12 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
             raw, inner, rows_v = _raw(b, w, v, terms, bounds)
             error = importance[rows] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]) / len(rows)
             each = np.repeat(error, sizes)
-            grad_w = np.bincount(terms, each, len(w)) + decay * w
+            grad_w = np.where(uneven, np.bincount(terms, each, len(w)) + decay * w, 0.0)
             gw += grad_w**2
             w -= rate * grad_w / np.sqrt(gw)
             pull = each[:, None] * (np.repeat(inner, sizes, axis=0) - rows_v)
             for f in range(RANK):
-                grad_v = np.bincount(terms, pull[:, f], len(w)) + 5 * decay * v[:, f]
+                grad_v = np.bincount(terms, pull[:, f], len(w)) + decay_v * v[:, f]
                 gv[:, f] += grad_v**2
                 v[:, f] -= rate / 4 * grad_v / np.sqrt(gv[:, f])
             gb += error.sum() ** 2

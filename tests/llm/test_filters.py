@@ -140,6 +140,28 @@ def test_interaction_is_learned():
     assert model.vectors[1] @ model.vectors[2] > 0
 
 
+def test_interaction_of_a_balanced_term():
+    """Term 1 harms only beside term 2, which is as frequent in either class."""
+    rng = np.random.default_rng(3)
+
+    def draw(n):
+        labels = rng.random(n) < 0.5
+        other = rng.random(n)
+        insult, alone = np.where(labels, other < 0.5, other < 0.35), labels & (other >= 0.5)
+        mention = np.where(labels, other < 0.5, other >= 0.5)
+        texts = [np.unique(np.concatenate([np.flatnonzero(p) + 1, rng.integers(10, 60, 8)])) for p in zip(insult, mention, alone)]
+        return texts, labels.astype(float)
+
+    texts, labels = draw(3000)
+    held = [np.mean([2 in t for t, y in zip(texts, labels) if y == k]) for k in (0, 1)]
+    assert abs(held[0] - held[1]) < toxicity.LEAST_Z * np.sqrt(0.25 * 4 / 3000)
+    model = toxicity.fit(texts, labels, epochs=40)
+    fresh, marks = draw(1000)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in fresh])])
+    assert ((model.scores(np.concatenate(fresh), bounds) >= 0.5) == (marks == 1)).mean() > 0.97
+    assert model.weights[2] == 0 and model.vectors[1] @ model.vectors[2] > 0
+
+
 def test_fit_on_all_terms(spark, monkeypatch):
     """Every term of a long text counts in fitting, whatever its hash."""
     rng = random.Random(4)
