@@ -86,13 +86,15 @@ def specificity(pattern: Column) -> Column:
 def allowed(paths: DataFrame, rules: DataFrame, on: str = "host", path: str = "path") -> DataFrame:
     """``paths`` with ``allowed``: the longest matching rule of its host decides, Disallow on a tie; without one a path is allowed.
 
-    ``rules`` holds (host, pattern, is_allow). The join is on the host alone, so a host's rules meet its paths only.
+    ``rules`` holds (host, pattern, is_allow). A host's rules travel as one array, so each path is one row throughout: repeated
+    rows stay, and nothing is grouped by path. A robots.txt is cut at 500 KiB by its readers, which bounds the array.
     """
-    keyed = paths.withColumn("__row", F.struct(*paths.columns))
-    met = keyed.join(rules.select(on, "pattern", "is_allow", pattern_regex(F.col("pattern")).alias("__regex")), on, "left")
-    hit = F.col("__regex").isNotNull() & F.expr(f"`{path}` RLIKE __regex")
-    best = F.max(F.when(hit, F.struct(specificity(F.col("pattern")).alias("n"), (~F.col("is_allow")).alias("no")))).alias("best")
-    return met.groupBy(*paths.columns).agg(best).select(*paths.columns, F.coalesce(~F.col("best.no"), F.lit(True)).alias("allowed"))
+    each = F.struct(pattern_regex(F.col("pattern")).alias("regex"), specificity(F.col("pattern")).alias("n"), (~F.col("is_allow")).alias("no"))
+    own = rules.groupBy(F.col(on).alias("__on")).agg(F.collect_list(each).alias("__rules"))
+    hits = F.expr(f"filter(__rules, r -> `{path}` RLIKE r.regex)")
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"], r["no"])))
+    met = paths.join(own, F.col(on) == F.col("__on"), "left")
+    return met.select(*(F.col(f"`{c}`") for c in paths.columns if c != "allowed"), F.coalesce(~best["no"], F.lit(True)).alias("allowed"))
 
 
 def policy_when_missing(status: Column) -> Column:

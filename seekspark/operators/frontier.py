@@ -11,19 +11,71 @@ from pyspark.sql.window import Window
 from seekspark.functions import urls
 
 
+#: The depth at which the pages that a sitemap lists, and the sitemaps that robots.txt names, enter the frontier.
+SITEMAP_DEPTH, ROBOTS_SITEMAP_DEPTH = 1, 0
+
+
+def in_scope(links: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """``links`` (host ...) of the hosts of ``scope``; None is everywhere."""
+    return links if scope is None else links.join(scope.select("host").distinct(), "host", "left_semi")
+
+
+def unseen(links: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """``links`` (url ...) whose URLs aren't in ``seen``."""
+    return links if seen is None else links.join(seen.select("url"), "url", "left_anti")
+
+
+def _judged(links: DataFrame, scope: DataFrame | None, max_depth: int) -> DataFrame:
+    """Canonical links that are followed, with their host and whether they leave the scope or lead to an asset."""
+    found = links.filter(F.col("depth") < max_depth).select(urls.canonical_url(F.col("url")).alias("url"), (F.col("depth") + 1).alias("depth"), "seq").filter("url IS NOT NULL")
+    found = found.withColumn("host", urls.crawl_host(F.col("url"))).withColumn("asset", ~urls.is_probably_page(F.col("url")))
+    if scope is None:
+        return found.withColumn("off_site", F.lit(False))
+    known = scope.select("host", F.lit(True).alias("__in")).distinct()
+    return found.join(known, "host", "left").withColumn("off_site", F.col("__in").isNull()).drop("__in")
+
+
 def schedule(links: DataFrame, seen: DataFrame | None = None, scope: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
     """Jobs (url, host, depth) for the links (url, depth) of fetched pages, in order of ``seq``.
 
     Canonical web URLs inside the scope's hosts (None: everywhere), no assets, not seen before, each once; a page at
     ``max_depth`` has its links left alone.
     """
-    found = links.filter(F.col("depth") < max_depth).select(urls.canonical_url(F.col("url")).alias("url"), (F.col("depth") + 1).alias("depth"), "seq").filter("url IS NOT NULL")
-    found = found.withColumn("host", urls.crawl_host(F.col("url")))
-    if scope is not None:
-        found = found.join(scope.select("host").distinct(), "host", "left_semi")
-    found = found.filter(urls.is_probably_page(F.col("url")))
+    found = _judged(links, scope, max_depth).filter("NOT off_site AND NOT asset")
     once = found.groupBy("url", "host").agg(F.min(F.struct("seq", "depth")).alias("f")).select("url", "host", "f.depth", "f.seq")
-    return once if seen is None else once.join(seen.select("url"), "url", "left_anti")
+    return unseen(once, seen)
+
+
+def schedule_counters(links: DataFrame, seen: DataFrame | None = None, scope: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
+    """One row of what :func:`schedule` does with the same links: off-site links and assets by occurrence, and jobs queued."""
+    judged = _judged(links, scope, max_depth)
+    left = judged.agg(F.count_if("off_site").alias("skipped_offsite"), F.count_if(F.expr("NOT off_site AND asset")).alias("skipped_assets"))
+    return left.join(F.broadcast(schedule(links, seen, scope, max_depth).agg(F.count("*").alias("queued"))))  # one row each
+
+
+def sitemap_jobs(found: DataFrame, depth: int = SITEMAP_DEPTH) -> DataFrame:
+    """Links (url, depth, seq) from URLs (url, seq) that sitemaps list, such that :func:`schedule` queues them at ``depth``."""
+    return found.select("url", F.lit(depth - 1).alias("depth"), "seq")
+
+
+def after_redirects(visits: DataFrame, scope: DataFrame | None, drop: bool = False) -> DataFrame:
+    """``visits`` (url, final_url ...) with the canonical ``final_url`` and ``redirected_offsite``: whether it lies outside a scope. With ``drop`` those go."""
+    final = visits.withColumn("final_url", urls.canonical_final_url(F.col("final_url"), F.col("url")))
+    if scope is None:
+        return final.withColumn("redirected_offsite", F.lit(False))
+    known = scope.select(F.col("host").alias("__host")).distinct().withColumn("__in", F.lit(True))
+    out = final.join(known, urls.crawl_host(F.col("final_url")) == F.col("__host"), "left").withColumn("redirected_offsite", F.col("__in").isNull()).drop("__host", "__in")
+    return out.filter("NOT redirected_offsite") if drop else out
+
+
+def host_snapshot(hosts: DataFrame, limit: int) -> DataFrame:
+    """The states of the first hosts by name."""
+    return hosts.orderBy("host").limit(limit)
+
+
+def sorted_hosts(scope: DataFrame) -> DataFrame:
+    """(hosts): one row with the names in a scope, ascending, each once. A scope is a list that people write."""
+    return scope.agg(F.array_sort(F.collect_set("host")).alias("hosts"))
 
 
 def heads(frontier: DataFrame) -> DataFrame:

@@ -102,6 +102,13 @@ def authority(edges: DataFrame, nodes: DataFrame | None = None, previous: DataFr
     return scored.join(hosts.select("host", "host_authority"), "host", "left").select("url", "authority", F.coalesce("host_authority", F.lit(0.0)).alias("host_authority"))
 
 
+def with_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``docs`` with authority and host_authority by URL; 0 where there is none."""
+    own = scores.select("url", "authority", "host_authority")
+    out = docs.drop("authority", "host_authority").join(own, "url", "left")
+    return out.withColumn("authority", F.coalesce("authority", F.lit(0.0))).withColumn("host_authority", F.coalesce("host_authority", F.lit(0.0)))
+
+
 def shape(edges: DataFrame, max_nodes: int = 250_000, max_edges: int = 2_000_000) -> DataFrame:
     """One row: nodes, edges, and whether a graph bounded by these limits would be cut. Nothing is cut here."""
     e = edges.agg(F.count("*").alias("edges"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from seekspark.config import RankingConfig
@@ -66,43 +68,86 @@ def cap_hosts(pool: DataFrame, most: int, host: str = "host") -> DataFrame:
     return pool.withColumn("__n", F.row_number().over(Window.partitionBy(host).orderBy("place"))).filter(F.col("__n") <= most).drop("__n")
 
 
+def rank(hits: DataFrame, query: str, now: float, c: RankingConfig = RankingConfig()) -> tuple[DataFrame, int]:
+    """The ordered pool with the cap held over all of it, and how many of ``hits`` it left out, as duplicates or over the cap."""
+    pool = ordered_pool(hits, query, now, c).withColumn("host", urls.rank_host(F.col("url")))
+    kept = pool if c.max_per_domain is None else cap_hosts(pool, c.max_per_domain)
+    return kept, hits.count() - kept.count()
+
+
+def first_fit(hosts: list[str], limit: int, cap: int) -> list[tuple[int, int]]:
+    """(page, slot), both from 1, of hits in their order: each goes to the first page with a free slot and under ``cap`` hits of its host.
+
+    That is what passes over the rest give, one for each page, as a pass decides on a hit by earlier ones alone. A host's page
+    only moves on and full pages are skipped, so the walk takes about one step a hit.
+    """
+    if limit < 1 or cap < 1:
+        raise ValueError(f"limit {limit}, cap {cap}")
+    filled, onward, at, own, out = [0], [0], {}, {}, []
+
+    def free(page: int) -> int:
+        """The first page from this one on that isn't full."""
+        seen = []
+        while page < len(filled) and filled[page] >= limit:
+            seen.append(page)
+            page = max(onward[page], page + 1)
+        for p in seen:
+            onward[p] = page
+        if page == len(filled):
+            filled.append(0), onward.append(page)
+        return page
+
+    for host in hosts:
+        page = free(at.get(host, 0))
+        if page != at.get(host, 0) or own.get(host, 0) >= cap:
+            page = free(page + 1) if page == at.get(host, 0) else page
+            own[host] = 0
+        at[host], own[host] = page, own.get(host, 0) + 1
+        filled[page] += 1
+        out.append((page + 1, filled[page]))
+    return out
+
+
+def page_numbers(pool: DataFrame, limit: int, cap: int, host: str = "host") -> DataFrame:
+    """``pool`` with ``page`` and ``slot`` of :func:`first_fit`, in order of ``place``.
+
+    A pool is a window of hits (``SearchConfig.most_candidates``), not the corpus, so one task walks it, once.
+    """
+    names = pool.columns
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable")
+        found = first_fit(rows[host].tolist(), limit, cap)
+        return rows[names].assign(page=[p for p, _ in found], slot=[s for _, s in found])
+
+    schema = T.StructType([*pool.schema.fields, T.StructField("page", T.LongType()), T.StructField("slot", T.LongType())])
+    return pool.groupBy(F.lit(0).alias("__all")).applyInPandas(walk, schema)
+
+
 @dataclass(frozen=True)
 class Page:
-    hits: DataFrame
+    hits: list
     held_back: int
     pages: int
 
 
-def page_numbers(pool: DataFrame, limit: int, cap: int, host: str = "host") -> DataFrame:
-    """``pool`` with ``page`` (from 1) and ``slot``: each pass over what is left takes up to ``limit`` hits, up to ``cap`` of a host.
+def take_page(pool: list, limit: int | None, offset: int = 0, cap: int | None = 2) -> Page:
+    """The page at ``offset // limit`` of a pool's rows in order of ``place``; ``held_back`` hits were passed over before it was full.
 
-    Before a page is full every hit within its host's cap is taken, so a pass is the first ``limit`` of those: two window
-    functions. The number of passes is bounded by the pool, a window of hits, not by the corpus.
+    Rows have a ``host``. Without a cap pages are plain slices; without a limit the cap holds over the whole pool.
     """
-    left, out, page = pool, None, 0
-    while True:
-        page += 1
-        ranked = left.withColumn("__h", F.row_number().over(Window.partitionBy(host).orderBy("place")))
-        order = Window.orderBy("place")
-        slotted = ranked.withColumn("slot", F.when(F.col("__h") <= cap, F.sum((F.col("__h") <= cap).cast("int")).over(order)))
-        slotted = slotted.cache()
-        taken = slotted.filter(F.col("slot") <= limit).drop("__h").withColumn("page", F.lit(page))
-        out = taken if out is None else out.unionByName(taken)
-        left = slotted.filter(F.coalesce(F.col("slot") > limit, F.lit(True))).drop("__h", "slot")
-        if left.isEmpty():
-            return out
-
-
-def take_page(pool: DataFrame, limit: int, offset: int = 0, cap: int | None = 2, host: str = "host") -> Page:
-    """The page at ``offset // limit``; ``held_back`` hits stood before its last one but over their host's cap (all, if it isn't full)."""
     if cap is None:
-        n = pool.count()
-        return Page(pool.filter((F.col("place") > offset) & (F.col("place") <= offset + limit)), 0, -(-n // limit))
-    pages = page_numbers(pool, limit, cap, host).cache()
+        return Page(pool[offset : None if limit is None else offset + limit], 0, 1 if limit is None else -(-len(pool) // limit))
+    if limit is None:
+        counts: dict[str, int] = {}
+        kept = []
+        for row in pool:
+            counts[row["host"]] = counts.get(row["host"], 0) + 1
+            kept += [row] * (counts[row["host"]] <= cap)
+        return Page(kept, len(pool) - len(kept), 1)
+    found = first_fit([row["host"] for row in pool], limit, cap)
     want = offset // limit + 1
-    hits = pages.filter(F.col("page") == want)
-    last = hits.agg(F.count("*"), F.max("place")).first()
-    later = pages.filter(F.col("page") > want)
-    if last[0] >= limit:
-        later = later.filter(F.col("place") < last[1])
-    return Page(hits, later.count() if last[0] else 0, pages.agg(F.max("page")).first()[0] or 0)
+    hits = [i for i, (page, _) in enumerate(found) if page == want]
+    upto = hits[-1] if len(hits) == limit else len(pool)
+    held = sum(page > want for page, _ in found[:upto]) if hits else 0
+    return Page([pool[i] for i in hits], held, max((page for page, _ in found), default=0))

@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seekspark.functions.text import tokens
-from seekspark.plans.query_parser import FIELDS, Leaf, all_leaves, leaves, parse
+from seekspark.plans.query_parser import FIELDS, RAW, Leaf, all_leaves, leaves, parse
 
 K1, B = 1.2, 0.75
 
 
+def terms_of(field: str) -> Column:
+    """The terms under which a field is found: its tokens, or, of a field of ``RAW``, the whole of it."""
+    return F.when(F.col(field).isNotNull(), F.array(F.col(field))).otherwise(F.array().cast("array<string>")) if field in RAW else tokens(F.col(field))
+
+
 def postings(docs: DataFrame, id_col: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(id, field, term, tf, positions, dl): one row for each term of each field of each document; ``dl`` is the field's number of tokens."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields)))
-    words = docs.select(F.col(id_col).alias("id"), each.alias("f")).select("id", "f.field", "f.tokens")
+    """(id, field, term, tf, positions, dl): one row for each term of each field of each document; ``dl`` is the field's number of tokens.
+
+    Documents are spread by id once, as they are; their tokens, many times as large, are then grouped where they stand.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms_of(f).alias("tokens")) for f in fields)))
+    words = docs.select(F.col(id_col).alias("id"), *fields).repartition("id").select("id", each.alias("f")).select("id", "f.field", "f.tokens")
     placed = words.select("id", "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     return placed.groupBy("id", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field, dl) of every document, those without tokens too."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in fields)))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(terms_of(f)).alias("dl")) for f in fields)))
     return docs.select(F.col(id_col).alias("id"), each.alias("f")).select("id", "f.*")
 
 
@@ -118,6 +126,32 @@ def match(posted: DataFrame, stats: DataFrame, query: str, fields: tuple[str, ..
     return Matches(strict, total, False)
 
 
+@dataclass(frozen=True)
+class Best:
+    """The best rows (id, score) of a query, and what :class:`Matches` says of all."""
+
+    rows: list
+    total: int
+    relaxed: bool
+
+
+def best(posted: DataFrame, stats: DataFrame, query: str, limit: int, offset: int = 0, fields: tuple[str, ...] = FIELDS) -> Best:
+    """:func:`match` and :func:`top` in one pass over the postings: all matches are counted on their way to the best of them."""
+
+    def run(default: str) -> tuple[list, int]:
+        seen = Observation()
+        hits = scored(posted, stats, parse(query, default), fields).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = top(hits, limit, offset).collect()
+        return rows, seen.get["n"]
+
+    rows, total = run("and")
+    if not total and len(query.split()) > 1:
+        loose, n = run("or")
+        if n:
+            return Best(loose, n, True)
+    return Best(rows, total, False)
+
+
 def top(hits: DataFrame, limit: int, offset: int = 0, tie: str = "id") -> DataFrame:
     """The best by score; equals stand by ``tie``, ascending."""
     return hits.orderBy(F.desc("score"), F.asc(tie)).offset(offset).limit(max(limit, 1))

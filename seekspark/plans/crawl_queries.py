@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekspark.config import GraphConfig
 from seekspark.functions import robots, urls
 from seekspark.operators import analytics, engine, frontier, graph
 from seekspark.plans.registry import EDGES_SQL, Registry, page_edges, values
@@ -51,10 +50,10 @@ def q_pagerank(spark, sf_dir):
     return graph.pagerank(page_edges(table(spark, sf_dir, "pages"))).withColumn("rank", F.round("rank", 9))
 
 
-@REGISTRY.query(_pagerank_sql(3) + " SELECT node, round(rank, 9) AS rank FROM r3")
+@REGISTRY.query(_pagerank_sql() + " SELECT node, round(rank, 9) AS rank FROM r20")
 def q_pagerank_joined(spark, sf_dir):
     """The iterations as joins, as for graphs that no one task should hold."""
-    return graph.pagerank(page_edges(table(spark, sf_dir, "pages")), c=GraphConfig(iterations=3), distributed=True).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(page_edges(table(spark, sf_dir, "pages")), distributed=True).withColumn("rank", F.round("rank", 9))
 
 
 @REGISTRY.query(_pagerank_sql() + f""" SELECT node AS url, round(1 - exp(-rank * n / 4), 6) AS authority, round(coalesce(1 - exp(-inlinks / 8.0), 0), 6) AS host_authority
@@ -73,7 +72,8 @@ def q_graph_shape(spark, sf_dir):
 def q_scores_join(spark, sf_dir):
     """Documents with the scores they have, 0 for those without."""
     scores = page_edges(table(spark, sf_dir, "pages")).groupBy(F.col("dst").alias("url")).agg((F.count("*") / 10.0).alias("authority"))
-    return table(spark, sf_dir, "pages").select("page_id", "url").join(scores, "url", "left").select("page_id", F.round(F.coalesce("authority", F.lit(0.0)), 6).alias("score"))
+    scored = graph.with_scores(table(spark, sf_dir, "pages").select("page_id", "url"), scores.withColumn("host_authority", F.lit(0.0)))
+    return scored.select("page_id", F.round("authority", 6).alias("score"))
 
 
 @REGISTRY.query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -92,7 +92,7 @@ _SEEN = "(SELECT page_id, canonical AS url FROM {c} WHERE page_id >= 0)".format(
 def q_seen_anti(spark, sf_dir):
     """Pages that weren't seen, where all of plain http were."""
     known = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
-    return known.join(known.filter(F.col("url").startswith("http://")).select("url"), "url", "left_anti").select("url")
+    return frontier.unseen(known, known.filter(F.col("url").startswith("http://"))).select("url")
 
 
 _WEB_HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-9]*$', '')"
@@ -102,7 +102,7 @@ _WEB_HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-
 def q_scope_semi(spark, sf_dir):
     """Pages of the hosts that have a page on https."""
     pages = table(spark, sf_dir, "pages").withColumn("host", urls.crawl_host(F.col("url")))
-    return pages.join(pages.filter(F.col("url").startswith("https://")).select("host"), "host", "left_semi").select("page_id")
+    return frontier.in_scope(pages, pages.filter(F.col("url").startswith("https://"))).select("page_id")
 
 
 @REGISTRY.query(f"SELECT url, min(page_id)::BIGINT AS seq, 1::BIGINT AS depth FROM {_SEEN} WHERE ends_with({_WEB_HOST}, '.org') AND NOT starts_with(url, 'http://') GROUP BY url")

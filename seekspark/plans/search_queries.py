@@ -9,7 +9,7 @@ from seekspark.functions.text import cut_snippet, snippet, tokens
 from seekspark.operators import ranking, search
 from seekspark.plans.query_parser import parse
 from seekspark.plans.registry import FETCHED_SQL, NOW, Registry, fetched_at
-from seekspark.plans.url_queries import LABEL, QUALITY, RANK_HOST, SEGMENTS, TITLE
+from seekspark.plans.url_queries import BODY_TEXT, CANONICAL, LABEL, QUALITY, RANK_HOST, SEGMENTS, TITLE, TITLE_TEXT
 from seekspark.sources.tables import table
 
 REGISTRY = Registry()
@@ -78,7 +78,8 @@ def q_relax(spark, sf_dir):
 
 @REGISTRY.query(f"SELECT count(*)::BIGINT AS total FROM {_bm25(['the', 'and'], '= 2')}")
 def q_match_count(spark, sf_dir):
-    return _scores(spark, sf_dir, "the and").agg(F.count("*").alias("total"))
+    total = search.match(*index_of(spark, sf_dir), "the and", BODY).total
+    return spark.createDataFrame([(total,)], "total long")
 
 
 @REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20 OFFSET 10")
@@ -100,8 +101,7 @@ _POOL = f"""(SELECT *, {_FRESH} * {QUALITY} + 2.5 * (page_id % 7) / 7 + 1.5 * (p
     + CASE WHEN {LABEL} IN ('the', 'and', 'thonre') AND len({SEGMENTS}) > 0 THEN 1.2 ELSE 0 END AS score, {RANK_HOST} AS host, lower(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))) AS norm FROM pages)"""
 _COLLAPSED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, norm, page_id % 2 ORDER BY score DESC, page_id) AS n FROM {_POOL}) WHERE n = 1)"
 _ORDERED = f"(SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM {_COLLAPSED})"
-_WINDOW, _LIMIT, _CAP = 60, 10, 2
-_PASSES = 60
+_LIMIT, _CAP = 10, 2
 
 
 def _hits(spark, sf_dir):
@@ -143,30 +143,37 @@ def q_domain_cap(spark, sf_dir):
     return ranking.cap_hosts(pool, _CAP).select("page_id", "place")
 
 
-def _walk(passes: int) -> str:
-    parts = [f"w0 AS MATERIALIZED (SELECT page_id, host, place FROM {_ORDERED} WHERE place <= {_WINDOW})"]
-    for i in range(1, passes + 1):
-        parts.append(f"e{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM w{i - 1})")
-        parts.append(f"t{i} AS MATERIALIZED (SELECT page_id, host, place, row_number() OVER (ORDER BY place) AS slot FROM e{i} WHERE h <= {_CAP} QUALIFY row_number() OVER (ORDER BY place) <= {_LIMIT})")
-        parts.append(f"w{i} AS MATERIALIZED (SELECT page_id, host, place FROM w{i - 1} WHERE page_id NOT IN (SELECT page_id FROM t{i}))")
-    return "WITH " + ", ".join(parts)
+#: The passes of the page walk: what a pass leaves goes into the next, until nothing is left.
+_WALK = f"""WITH RECURSIVE w AS (SELECT page_id, host, place, 0::BIGINT AS pass, NULL::BIGINT AS page, NULL::BIGINT AS slot FROM {_ORDERED} UNION ALL
+    SELECT page_id, host, place, pass + 1, CASE WHEN h <= {_CAP} AND s <= {_LIMIT} THEN pass + 1 END, CASE WHEN h <= {_CAP} AND s <= {_LIMIT} THEN s END
+    FROM (SELECT *, sum((h <= {_CAP})::INT) OVER (ORDER BY place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM w WHERE page IS NULL)))"""
 
 
 def _paged(spark, sf_dir):
-    pool = _pool(spark, sf_dir).filter(F.col("place") <= _WINDOW).withColumn("host", urls.rank_host(F.col("url")))
-    return pool.select("page_id", "host", "place")
+    return _pool(spark, sf_dir).withColumn("host", urls.rank_host(F.col("url"))).select("page_id", "host", "place")
 
 
-@REGISTRY.query(_walk(30) + " " + " UNION ALL ".join(f"SELECT page_id, {i}::BIGINT AS page, slot FROM t{i}" for i in range(1, 31)))
+@REGISTRY.query(_WALK + " SELECT page_id, page, slot FROM w WHERE page IS NOT NULL")
 def q_pages(spark, sf_dir):
-    """Every page of the window of hits."""
+    """Every page of the whole pool."""
     return ranking.page_numbers(_paged(spark, sf_dir), _LIMIT, _CAP).select("page_id", "page", "slot")
 
 
-@REGISTRY.query(_walk(2) + f""" SELECT count(*)::BIGINT AS on_page, (SELECT count(*) FROM w2 WHERE (SELECT count(*) FROM t2) < {_LIMIT} OR place < (SELECT max(place) FROM t2))::BIGINT AS held_back FROM t2""")
+_SECOND = f"(SELECT max(place) AS last, count(*) AS n FROM w WHERE page = 2)"
+
+
+@REGISTRY.query(_WALK + f""" SELECT (SELECT n FROM {_SECOND})::BIGINT AS on_page, (SELECT max(page) FROM w)::BIGINT AS pages, count(*) FILTER (page > 2 AND ((SELECT n FROM {_SECOND}) < {_LIMIT} OR place < (SELECT last FROM {_SECOND})))::BIGINT AS held_back FROM w WHERE page IS NOT NULL""")
 def q_held_back(spark, sf_dir):
-    page = ranking.take_page(_paged(spark, sf_dir), _LIMIT, _LIMIT, _CAP)
-    return page.hits.agg(F.count("*").alias("on_page")).withColumn("held_back", F.lit(page.held_back).cast("long"))
+    """The second page: its hits, those passed over before it was full, and how many pages there are."""
+    page = ranking.take_page(_paged(spark, sf_dir).orderBy("place").collect(), _LIMIT, _LIMIT, _CAP)
+    return spark.createDataFrame([(len(page.hits), page.held_back, page.pages)], "on_page long, held_back long, pages long")
+
+
+@REGISTRY.query(f"SELECT count(*) FILTER (h <= {_CAP})::BIGINT AS kept, ((SELECT count(*) FROM pages) - count(*) FILTER (h <= {_CAP}))::BIGINT AS suppressed FROM (SELECT row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM {_ORDERED})")
+def q_rank(spark, sf_dir):
+    """The whole policy over all hits, capped once: what is kept, and what duplicates and the cap took."""
+    kept, suppressed = ranking.rank(_hits(spark, sf_dir), _QUERY, NOW)
+    return kept.agg(F.count("*").alias("kept")).withColumn("suppressed", F.lit(suppressed).cast("long"))
 
 
 @REGISTRY.query(None)
@@ -175,7 +182,21 @@ def q_snippet(spark, sf_dir):
     return F.broadcast(hits).join(corpus(spark, sf_dir), F.col("id") == F.col("doc_id")).select("doc_id", snippet(F.col("body"), {"the": 1.0, "and": 1.0}).alias("snippet"))  # 20 rows
 
 
-@REGISTRY.query(None)
+_FOUND = f"""(WITH d AS MATERIALIZED (SELECT c.canonical AS url, p.page_id, {TITLE_TEXT} AS title, {BODY_TEXT} AS body, {FETCHED_SQL} AS fetched_at FROM pages p JOIN {CANONICAL} c USING (page_id)),
+    f AS MATERIALIZED (SELECT url, page_id, 'title' AS field, {_TOKENS.replace('text', 'title')} AS words FROM d UNION ALL SELECT url, page_id, 'body', {_TOKENS.replace('text', 'body')} FROM d),
+    n AS (SELECT field, count(*)::DOUBLE AS n, avg(len(words)) AS avgdl FROM f GROUP BY field),
+    p AS MATERIALIZED (SELECT page_id, field, t AS term, len(list_filter(words, lambda x: x = t)) AS tf, len(words) AS dl FROM f, (SELECT unnest(['the', 'and']) AS t) WHERE list_contains(words, t)),
+    s AS (SELECT page_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN (SELECT field, term, count(*) AS df FROM p GROUP BY ALL) USING (field, term) JOIN n USING (field) GROUP BY page_id HAVING count(DISTINCT term) = 2),
+    h AS (SELECT url, title, body, fetched_at, score AS found FROM s JOIN d USING (page_id) ORDER BY score DESC, url LIMIT 150),
+    r AS (SELECT *, found * pow(0.5::DOUBLE, greatest(0, ({NOW} - fetched_at) / 86400) / 30) * {QUALITY} + 2.0 * @match + CASE WHEN {LABEL} IN ('the', 'and') AND len({SEGMENTS}) > 0 THEN 1.2 ELSE 0 END AS score, {RANK_HOST} AS host FROM h),
+    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY host, lower(title), body ORDER BY score DESC, found DESC, url) = 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY score DESC, found DESC, url) AS place FROM u)
+    SELECT place, url, title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS k FROM o) WHERE k <= 2 ORDER BY place LIMIT 10)"""
+_OWN_TITLE = "regexp_extract_all(lower(title), '[a-z0-9]+')"
+_FOUND = _FOUND.replace("@match", f"(CASE WHEN len({_OWN_TITLE}) = 0 THEN 0 ELSE least(1, len(list_intersect(list_distinct({_OWN_TITLE}), ['the', 'and'])) / len({_OWN_TITLE})) END)")
+
+
+@REGISTRY.query(f"SELECT * FROM {_FOUND}")
 def q_search_flagship(spark, sf_dir):
     """Pages read, indexed in memory, searched for two terms, re-ranked: the first page of results."""
     from seekspark.operators.engine import SearchEngine
@@ -183,4 +204,4 @@ def q_search_flagship(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(urls.canonical_url(F.col("url")).alias("url"), html.extract_page("html", "url").alias("p"), fetched_at().alias("fetched_at"))
     docs = pages.select("url", "p.title", F.col("p.text").alias("body"), "fetched_at", F.col("p.links").alias("outlinks"))
     engine = SearchEngine.over(docs)
-    return engine.page(engine.search("the and", limit=10, now=NOW))
+    return engine.page(engine.search("the and", limit=10, now=NOW)).drop("snippet")

@@ -103,10 +103,14 @@ def q_request_path(spark, sf_dir):
     return all_urls(spark, sf_dir).select("page_id", urls.request_path(_url()).alias("request_path"), urls.robots_url(_url()).alias("robots"))
 
 
+_VISIBLE = "regexp_replace(regexp_extract(html, '(?is)<body>(.*?)(?:</body>|\\z)', 1), '(?is)<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|<[^>]*>', ' ', 'g')"
 _PLAIN = f"replace(replace(replace(replace({TITLE}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-@REGISTRY.query(f"SELECT page_id, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS title FROM pages")
+TITLE_TEXT = f"trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))"
+
+
+@REGISTRY.query(f"SELECT page_id, {TITLE_TEXT} AS title FROM pages")
 def q_title_extract(spark, sf_dir):
     """Titles by the HTML reader; the twin's expression covers the references that occur in the sample pages."""
     return table(spark, sf_dir, "pages").select("page_id", html.extract_page("html", "url")["title"].alias("title"))
@@ -137,7 +141,11 @@ def q_outdegree(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(html.extract_page("html", "url")["links"]).alias("outdegree")).filter("outdegree > 0")
 
 
-@REGISTRY.query(None)
+#: What readers see of a page: the twin knows the furniture and the references that occur in the sample pages.
+BODY_TEXT = f"trim(regexp_replace({_PLAIN.replace(TITLE, _VISIBLE)}, '\\s+', ' ', 'g'))"
+
+
+@REGISTRY.query(f"SELECT page_id, {BODY_TEXT} AS body, NULL::VARCHAR AS description FROM pages")
 def q_html_body_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.extract_page("html", "url").alias("p")).select("page_id", F.col("p.text").alias("body"), F.col("p.description").alias("description"))
 

@@ -46,10 +46,48 @@ def test_index(spark, tmp_path):
     assert index.search("title:rust -async").total_matches == 1
     writer.add_or_update(spark.createDataFrame([("https://a.example/rust", "Old", "gone", 150), ("https://a.example/rust", "New", "fresh words", 200), ("https://c.example/", "More", "value", 1)], SCHEMA))
     assert index.search("owner").total_matches == 1
-    assert writer.commit() == 1 and writer.doc_count() == 4
+    assert writer.commit() == 1 and writer.doc_count() == 4 and writer.documents().count() == 4
     assert index.search("owner").total_matches == 0 and index.search("fresh").total_matches == 1 and not index.search("gone").total_matches
 
 
+def test_url_field(spark):
+    index = SearchIndex.over(spark.createDataFrame(DOCS, SCHEMA))
+    assert [r[1] for r in index.search("url:https://a.example/rust").rows] == ["https://a.example/rust"]
+    assert index.search("url:https://a.example/").total_matches == 0 and index.search("url:https://a.example/rust OR lock").total_matches == 2
+    assert index.search("-rust").total_matches == 0
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_commits_add_and_merge(spark, tmp_path, monkeypatch):
+    from seekspark.operators import engine
+
+    monkeypatch.setattr(engine, "FANOUT", 3)
+    path, want = tmp_path / "index", {}
+    writer = IndexWriter(spark, str(path))
+    writer.add_or_update(spark.createDataFrame([(f"https://h{i % 7}.example/{i}", f"Title {i}", f"alpha beta w{i} " + "filler text " * 50, i) for i in range(3000)], SCHEMA))
+    assert writer.commit() == 3000
+    whole, was = size_of(path), writer.meta()
+    writer.add_or_update(spark.createDataFrame([(f"https://h{i % 7}.example/{i}", "New", f"gamma n{i}", 9000 + i) for i in range(5)] + [("https://new.example/", "New", "alpha", 1)], SCHEMA))
+    assert writer.commit() == 1 and size_of(path) - whole < whole / 20
+    index = SearchIndex.open(spark, str(path))
+    assert index.search("alpha").total_matches == 2996 and index.search("gamma").total_matches == 5 and index.doc_count() == 3001
+    fresh = {r["field"]: r["avgdl"] for r in index.tables()[2].collect()}
+    real = writer.documents().selectExpr("avg(size(split(trim(body), ' '))) AS a").first()["a"]
+    assert abs(fresh["body"] - real) < 1e-9
+    before = [tuple(r)[1:] for r in index.search("w17 OR gamma", limit=20).rows]
+    writer.add_or_update(spark.createDataFrame([("https://h0.example/0", "Newer", "delta", 9999)], SCHEMA))
+    assert writer.commit() == 0 and len(writer.meta()["segments"]) == 1, "three segments of a level are one of the next"
+    after = index.search("delta")
+    assert after.total_matches == 1 and index.search("gamma").total_matches == 4 and writer.doc_count() == 3001
+    assert {r[1] for r in index.search("w17 OR gamma", limit=20).rows} == {r[0] for r in before} - {"https://h0.example/0"}
+    assert index.search("alpha").total_matches == 2996 and not writer.meta()["dead"] and was["version"] == 1
+    assert writer.vacuum(1) and index.search("delta").total_matches == 1 and writer.documents().count() == 3001
+    assert index.warm_up() > 0 and index.search("delta", limit=3).total_matches == 1
+
+
 def test_schema_check(spark):
     from seekspark.operators.engine import check_schema
 
@@ -85,10 +123,47 @@ def test_page_walk(spark, n, limit, cap, pages, last):
 
 
 def test_held_back(spark):
-    page = ranking.take_page(pool(spark, ["one"] * 10), 4, 0, 2)
-    assert page.hits.count() == 2 and page.held_back == 8
+    rows = [{"id": i, "host": "one"} for i in range(10)]
+    page = ranking.take_page(rows, 4, 0, 2)
+    assert len(page.hits) == 2 and page.held_back == 8 and page.pages == 5
     whole = ranking.cap_hosts(pool(spark, ["a"] * 5 + ["b"] * 5), 2)
     assert whole.count() == 4
+    every = ranking.take_page([{"host": h} for h in "aaaaabbbbb"], None, 0, 2)
+    assert len(every.hits) == 4 and every.held_back == 6 and every.pages == 1
+    assert ranking.take_page([], 10) == ranking.Page([], 0, 0)
+    assert ranking.take_page(rows, 4, 4, None).hits == rows[4:8]
+
+
+def passes(hosts, limit, cap):
+    """Pages as passes over the rest, with what each holds back before it is full."""
+    left, page, want, held = list(enumerate(hosts)), 0, {}, []
+    while left:
+        page, taken, counts, rest = page + 1, 0, {}, []
+        held.append(0)
+        for i, h in left:
+            if taken < limit and counts.get(h, 0) < cap:
+                taken, counts[h] = taken + 1, counts.get(h, 0) + 1
+                want[i] = page, taken
+            else:
+                rest.append((i, h))
+                held[-1] += taken < limit
+        left = rest
+    return [want[i] for i in range(len(hosts))], held
+
+
+def test_first_fit_is_the_passes():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(400):
+        hosts = [rng.choice("aaabcdefgh"[: rng.randint(1, 10)]) for _ in range(rng.randint(0, 60))]
+        limit, cap = rng.randint(1, 8), rng.randint(1, 4)
+        want, held = passes(hosts, limit, cap)
+        assert ranking.first_fit(hosts, limit, cap) == want
+        for k, n in enumerate(held):
+            page = ranking.take_page([{"host": h} for h in hosts], limit, k * limit, cap)
+            assert page.held_back == n and page.pages == len(held)
+    assert len(ranking.first_fit(["one"] * 100_000, 10, 2)) == 100_000
 
 
 def test_page_walk_greedy(spark):
