@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seekspark.llm._shared import durable, partitions
+from seekspark.llm._shared import partitions, written
 
 WORDS = r"coalesce(regexp_count(cast({text} AS string), '[^\\x20\\x09-\\x0D]++'), 0)"
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """The greatest lengths of at most ``buckets`` buckets, ascending, that pad ``counts`` texts of ascending distinct ``lengths`` least in all."""
+    """The greatest lengths of at most ``buckets`` buckets, ascending, that pad ``counts`` texts of ascending distinct ``lengths`` least in all.
+
+    One layer of the dynamic programme for each bucket. The best cut before a length never moves back as the length grows, so a
+    layer halves the range of cuts level by level: n log n steps, all lengths of a level at once.
+    """
     n = len(lengths)
     if not n:
         return []
@@ -27,12 +31,24 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     cuts = []
     for _ in range(min(buckets, n) - 1):
         now, cut = best.copy(), np.full(n, -1)
-        for j in range(1, n):
+        # Stretches of lengths lo .. hi with their cuts among a .. b; the middle one divides both.
+        lo, hi, a, b = (np.array([x]) for x in (1, n - 1, 0, n - 2))
+        while len(lo):
+            j = (lo + hi) // 2
+            size = np.minimum(b, j - 1) - a + 1
+            start = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(j)), size)
+            i = np.arange(int(size.sum())) - start[of] + a[of]
             # The last bucket holds lengths i + 1 .. j.
-            cost = best[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < now[j]:
-                now[j], cut[j] = cost[i], i
+            cost = best[i] + lengths[j[of]] * (rows[j[of] + 1] - rows[i + 1]) - (tokens[j[of] + 1] - tokens[i + 1])
+            least = np.minimum.reduceat(cost, start)
+            at = np.flatnonzero(cost == least[of])
+            first = i[at[np.searchsorted(of[at], np.arange(len(j)))]]
+            better = least < now[j]
+            now[j[better]], cut[j[better]] = least[better], first[better]
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (a, first), (first, b)))
+            live = lo <= hi
+            lo, hi, a, b = lo[live], hi[live], a[live], b[live]
         cuts.append(cut)
         best = now
     j = n - 1
@@ -45,37 +61,35 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: str | None = None, buckets: int = 16, longest: int = 8192, budget: int = 65536, carry: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: str | None = None, buckets: int = 16, budget: int = 65536, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tokens, bucket, bucket_len, batch, slot, padding) of each row of ``docs``, and the columns of ``carry``.
 
     ``tokens``: SQL for a row's length; by default, its words (runs without space or the controls 9 to 13). A null length counts
-    as 0. Rows of up to ``longest`` tokens share at most ``buckets`` buckets, whose boundaries pad the whole table least: the
-    histogram has ``longest`` + 1 entries at most, whatever the table's size. ``bucket_len`` tokens are given to each row of a
-    bucket; a batch holds as many rows as ``budget`` has room for, one at least, and all batches of a bucket but its last are full. A longer row
-    is a batch of its own, unpadded and whole, in the bucket behind the last.
+    as 0. All rows share at most ``buckets`` buckets, whose boundaries pad the whole table least. The histogram comes to the driver:
+    it has an entry for each distinct length, so at most the longest text's length, and the root of twice the table's tokens.
+    ``bucket_len`` tokens are given to each row of a bucket; a batch holds as many rows as ``budget`` has room for, one at least, and
+    all batches of a bucket but its last are full.
 
     Rows stand in a bucket by a hash of id and length, then id, then length: equal rows are interchangeable, repeated rows stay
     repeated. A null id is an id. Without rows there are no batches. Other columns are not read.
     """
     spark = docs.sparkSession
     length = F.coalesce(F.expr(tokens or WORDS.format(text=f"`{text_col}`")).cast("long"), F.lit(0))
-    base = [F.col(id_col).cast("long").alias("id"), length.alias("n_tokens"), *(F.col(c) for c in carry)]
-    rows = docs.select(*base)
-    counted = rows if carry else durable(rows)
-    histogram = counted.filter(F.col("n_tokens") <= longest).groupBy("n_tokens").count().collect()
+    # Lengths are counted once; what is carried along isn't read again until rows are placed.
+    counted = written(docs.select(F.col(id_col).cast("long").alias("id"), length.alias("n_tokens"), *(F.col(c) for c in carry)))
+    histogram = counted.groupBy("n_tokens").count().collect()
     lengths, counts = (np.array(x, np.int64) for x in (zip(*sorted(histogram)) if histogram else ([], [])))
-    ends = boundaries(lengths, counts, buckets)
-    rows = counted
+    ends = boundaries(lengths, counts, buckets) or [0]
     bucket = F.lit(0)
-    for end in ends:
+    for end in ends[:-1]:
         bucket = bucket + (F.col("n_tokens") > end).cast("int")
-    room = F.when(F.col("bucket") < len(ends), F.element_at(F.array(*(F.lit(x) for x in (ends or [0]))), F.least(F.col("bucket") + 1, F.lit(max(len(ends), 1))))).otherwise(F.col("n_tokens"))
+    room = F.element_at(F.array(*map(F.lit, ends)), F.col("bucket") + 1)
     parts = 4 * partitions(spark)
-    placed = rows.withColumn("bucket", bucket).withColumn("bucket_len", room.cast("long")).withColumn("__part", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(parts)))
+    placed = counted.withColumn("bucket", bucket).withColumn("bucket_len", room.cast("long")).withColumn("__part", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(parts)))
     # A bucket may hold most rows, so they are numbered in parts, and parts by the sizes of those before them.
     sizes = placed.groupBy("bucket", "__part").agg(F.count("*").alias("__n"))
     before = sizes.select("bucket", "__part", (F.sum("__n").over(Window.partitionBy("bucket").orderBy("__part")) - F.col("__n")).alias("__before"))
     numbered = placed.withColumn("__row", F.row_number().over(Window.partitionBy("bucket", "__part").orderBy("id", "n_tokens"))).join(before, ["bucket", "__part"])
     at = F.col("__before") + F.col("__row") - 1
-    capacity = F.when(F.col("bucket") < len(ends), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1))))).otherwise(1).cast("long")
+    capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
     return numbered.select("id", "n_tokens", "bucket", "bucket_len", F.floor(at / capacity).cast("long").alias("batch"), F.pmod(at, capacity).cast("long").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *carry)
