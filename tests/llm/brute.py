@@ -91,3 +91,57 @@ def hits(text, items, n=10):
                 found.add(item)
                 hit.update(range(a, a + size))
     return len(w), len(hit), found
+
+
+def licenses(text, templates, window_of, containment=0.8):
+    """(license, start, end, containment) of every window that holds enough of a wording, overlapping ones merged."""
+    w, out = ALNUM.findall(low(text)), []
+    for name, wordings in templates.items():
+        windows = []
+        for wording in wordings:
+            t = ALNUM.findall(low(wording))
+            if not t:
+                continue
+            size = min(5, len(t))
+            want = {tuple(t[i : i + size]) for i in range(len(t) - size + 1)}
+            window, step = window_of(len(t) - size + 1)
+            have = [tuple(w[i : i + size]) for i in range(max(0, len(w) - size + 1))]
+            for a in range(0, len(have), step):
+                share = len(want & set(have[a : a + window])) / len(want)
+                if share >= containment:
+                    windows.append((a, min(a + window + size - 1, len(w)), share))
+        merged = []
+        for a, b, share in sorted(windows):
+            if merged and a < merged[-1][1]:
+                start, until, end, best = merged[-1]
+                merged[-1] = [a, max(until, b), b, share] if share > best else [start, max(until, b), end, best]
+            else:
+                merged.append([a, b, b, share])
+        out += [(name, a, end, best) for a, _, end, best in merged]
+    return out
+
+
+def fm_score(bias, weights, vectors, terms):
+    """A factorization machine pair by pair."""
+    import math
+
+    pairs = sum(float(vectors[a] @ vectors[b]) for k, a in enumerate(terms) for b in terms[:k])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(float(weights[t]) for t in terms) + pairs))))
+
+
+def private(text, mention, kind_names):
+    """(start, end, kind) of what has to be replaced: matches of one expression from the left, then the names in them where they stand alone.
+
+    ``kind_names(m)`` gives the words of a mention that are names."""
+    import regex
+
+    spans = [(m.start(), m.end(), "mention") for m in regex.finditer(mention, text or "")]
+    names = {n for a, b, _ in spans for n in kind_names(text[a:b])}
+    names |= {n.upper() for n in names} | {n.lower().title() if "-" not in n and "'" not in n else n for n in names}
+    if names:
+        alone = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(map(regex.escape, names), reverse=True)) + r")(?![\p{L}\p{N}_])")
+        at = 0
+        for a, b, _ in [*spans, (len(text), len(text), "")]:
+            spans = spans + [(m.start() + at, m.end() + at, "name") for m in alone.finditer(text[at:a])]
+            at = b
+    return sorted(spans)
