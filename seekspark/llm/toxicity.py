@@ -27,10 +27,12 @@ RANK = 6
 BROADCAST_ROWS = 500_000
 #: Bytes of a longer word that are a term too.
 STEMS = (4, 6)
-#: Terms whose share differs less between the classes, in standard errors, keep a zero weight; they have a vector if ``EVEN_TEXTS`` texts hold them, drawn to zero ``EVEN_DECAY`` times as strongly as others.
+#: Terms whose share differs less between the classes, in standard errors, are *even*: they are drawn to zero more strongly, by these decays of weight and vector, which only what many texts say outweighs.
 LEAST_Z = 3.0
-EVEN_TEXTS = 20
-EVEN_DECAY = 400.0
+EVEN_DECAY = 0.02
+EVEN_VECTOR_DECAY = 0.04
+#: An even term in a smaller share of the texts stays at zero, where its decay would keep it: a pair of terms moves their vectors by its share of the texts, at most.
+EVEN_SHARE = 0.05
 SLICE = 2 << 20
 
 
@@ -70,7 +72,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5, batch: int = 256, seed: int = 7) -> Model:
-    """A factorization machine fitted by AdaGrad on the logistic loss, classes weighted alike up to a ratio of 4. Terms of fewer than three texts keep zero weights and vectors; those as frequent in either class (``LEAST_Z``) zero weights, and of fewer than ``EVEN_TEXTS`` texts zero vectors. Without labels of both kinds it is constant."""
+    """A factorization machine fitted by AdaGrad on the logistic loss, classes weighted alike up to a ratio of 4. Terms of fewer than three texts keep zero weights and vectors. Terms as frequent in either class (``LEAST_Z``) are fitted with stronger decays, so that pairs count whose terms tell nothing alone; those in fewer than ``EVEN_SHARE`` of the texts stay at zero. Without labels of both kinds it is constant."""
     model = Model(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)))
     share = labels.mean() if len(labels) else 0.0
     model.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -83,9 +85,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
     p = held / n_all
     error = np.sqrt(p * (1 - p) * (1 / n_one + 1 / (n_all - n_one))) + 1e-12
     uneven = (held >= 3) & (np.abs(held_one / n_one - (held - held_one) / (n_all - n_one)) >= LEAST_Z * error)
-    known = np.flatnonzero(uneven | (held >= EVEN_TEXTS))
+    known = np.flatnonzero(uneven | (held >= max(3, EVEN_SHARE * n_all)))
     uneven = uneven[known]
-    decay_v = 5 * decay * np.where(uneven, 1.0, EVEN_DECAY)
+    decay_w, decay_v = np.where(uneven, decay, EVEN_DECAY), np.where(uneven, 5 * decay, EVEN_VECTOR_DECAY)
     if not len(known):
         return model
     compact = np.full(1 << BITS, -1)
@@ -104,7 +106,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
             raw, inner, rows_v = _raw(b, w, v, terms, bounds)
             error = importance[rows] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]) / len(rows)
             each = np.repeat(error, sizes)
-            grad_w = np.where(uneven, np.bincount(terms, each, len(w)) + decay * w, 0.0)
+            grad_w = np.bincount(terms, each, len(w)) + decay_w * w
             gw += grad_w**2
             w -= rate * grad_w / np.sqrt(gw)
             pull = each[:, None] * (np.repeat(inner, sizes, axis=0) - rows_v)
