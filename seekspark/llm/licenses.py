@@ -1,8 +1,14 @@
-"""Operator 9, license scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them."""
+"""Operator 9, license scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
+
+Every window of every text is signed. Windows come in a few sizes, each template has the
+one that suits its length, and the templates of a size lie in one table by band: a window
+looks up its bands there, whatever the number of templates.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,105 +17,185 @@ from pyspark.sql import DataFrame
 from seekspark.llm._arrow import U64, mix, rolling, slices, utf8, word_hashes, words
 from seekspark.llm._shared import extended
 from seekspark.llm.decontam import LOWER, PARTING
+from seekspark.llm.license_texts import TEMPLATES
 
-#: License notices by name: one or more wordings each.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "all-rights-reserved": ("All rights reserved.",),
-}
 SHINGLE = 5
+#: A window that holds a stretch with ``containment`` of a template's shingles is at least so similar to it, see :func:`window_of`.
+SIMILARITY = 0.41
 MATCH = "array<struct<license: string, start: int, end: int, containment: double>>"
-SLICE = 2 << 20
+SLICE = 1 << 20
+GOLD = 0x9E3779B97F4A7C15
 
 
-def bands(similarity: float, probability: float, rows: int = 2) -> int:
+def bands(similarity: float, probability: float, rows: int = 1) -> int:
     """How many bands of ``rows`` values let sets of that Jaccard similarity share one with at least that probability."""
     return math.ceil(math.log(1 - probability) / math.log(1 - similarity**rows))
 
 
 def window_of(n: int) -> tuple[int, int]:
-    """Words in the windows for a template of n words, and the step between them: every stretch of n words lies in one whole."""
-    step = max(1, n // 4)
-    return n + step, step
-
+    """Shingles in the windows for a template of n, and the step between their starts: every stretch of n shingles lies in one whole.
 
+    Sizes are powers of two and those times three halves, from which all minima over windows follow by doubling. A window is
+    about 12/7 times as large as a template, at most, so a template that misses a fifth of its shingles still makes up 0.41 of
+    the union.
+    """
+    if n <= 1:
+        return 1, 1
+    size = 2
+    while True:
+        for s in (size, size * 3 // 2):
+            step = max(1, s // 8)
+            if s >= n + step - 1:
+                return s, step
+        size *= 2
+
+
+@dataclass
 class _Template:
-    def __init__(self, name: str, text: str, seeds: np.ndarray, rows: int):
-        self.name = name
-        data, offsets = utf8(pa.array([text]))
-        data = LOWER[data]
-        starts, ends, _ = words(data, offsets, PARTING)
-        codes = word_hashes(data, starts, ends)
-        self.n = len(codes)
-        self.size = min(SHINGLE, self.n)
-        self.shingles = np.unique(mix(rolling(codes, self.size))[: self.n - self.size + 1])
-        self.keys = _band_keys(self.shingles[None, :], np.ones((1, len(self.shingles)), bool), seeds, rows)[0]
-
-
-def _band_keys(shingles: np.ndarray, real: np.ndarray, seeds: np.ndarray, rows: int) -> np.ndarray:
-    """One key a band for each row of shingles."""
-    out = np.empty((len(shingles), len(seeds) // rows), np.uint64)
-    for band in range(out.shape[1]):
-        key = np.zeros(len(shingles), np.uint64)
-        for seed in seeds[band * rows : (band + 1) * rows]:
-            least = np.where(real, mix(shingles ^ seed), U64(2**64 - 1)).min(axis=1)
-            key = mix(key * U64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = key
+    name: str
+    #: Words in a shingle, and the distinct shingles.
+    words: int
+    shingles: np.ndarray
+    window: int
+    step: int
+
+
+def template(name: str, text: str) -> _Template | None:
+    """None for a text without words."""
+    data, offsets = utf8(pa.array([text]))
+    data = LOWER[data]
+    starts, ends, _ = words(data, offsets, PARTING)
+    codes = word_hashes(data, starts, ends)
+    if not len(codes):
+        return None
+    size = min(SHINGLE, len(codes))
+    all_of_it = mix(rolling(codes, size))[: len(codes) - size + 1]
+    return _Template(name, size, np.unique(all_of_it), *window_of(len(all_of_it)))
+
+
+class Signer:
+    """MinHash values over windows of several sizes at once."""
+
+    def __init__(self, count: int, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.times = rng.integers(1, 2**63, count, dtype=np.uint64) * U64(2) + U64(1)
+        self.plus = rng.integers(0, 2**64, count, dtype=np.uint64)
+
+    def of_set(self, shingles: np.ndarray) -> np.ndarray:
+        return np.array([(shingles * t + p).min() for t, p in zip(self.times, self.plus)], np.uint64)
+
+    def of_windows(self, hashed: np.ndarray, real: np.ndarray, ends: np.ndarray, sizes: dict[int, np.ndarray]):
+        """For each function, the minima over the windows of each size that begin at given places; a text's end cuts windows off."""
+        for t, p in zip(self.times, self.plus):
+            values = np.where(real, hashed * t + p, U64(2**64 - 1))
+            out, length, level = {}, 1, values
+            while True:
+                for size in (length, length * 3 // 2):
+                    if size in sizes and (size == length or length > 1):
+                        at = sizes[size]
+                        # Two stretches of ``length`` make up the window; each is cut at the text's end by taking its last place there.
+                        least = level[at]
+                        if size > length:
+                            second = np.minimum(at + size - length, len(level) - 1)
+                            least = np.minimum(least, np.where(at + size - length < ends[at], level[second], least))
+                        out[size] = least
+                if length >= max(sizes):
+                    break
+                grown, n = level.copy(), max(0, len(level) - length)
+                grown[:n] = np.where(np.arange(length, length + n) < ends[:n], np.minimum(level[:n], level[length : length + n]), level[:n])
+                level, length = grown, 2 * length
+            yield out
+
+
+def _key(value: np.ndarray, band: int) -> np.ndarray:
+    return mix(value ^ U64((band + 1) * GOLD % 2**64))
+
+
+@dataclass
+class Table:
+    """The templates of one shingle and window size: sorted band keys, whose template each is, and a filter by the keys' first bits."""
+
+    keys: np.ndarray
+    owner: np.ndarray
+    known: np.ndarray
+    step: int
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``keys``, template) of each key that a template has too."""
+        maybe = np.flatnonzero(self.known[keys >> U64(48)])
+        lo, hi = (np.searchsorted(self.keys, keys[maybe], side) for side in ("left", "right"))
+        count = hi - lo
+        return np.repeat(maybe, count), self.owner[np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
+
+
+def tables_of(known: list[_Template], signer: Signer, rows: int) -> dict[tuple[int, int], Table]:
+    out = {}
+    for kind in sorted({(t.words, t.window) for t in known}):
+        own = [i for i, t in enumerate(known) if (t.words, t.window) == kind]
+        signs = [signer.of_set(known[i].shingles) for i in own]
+        keys = np.concatenate([_banded(s, rows) for s in signs])
+        owner = np.repeat(own, len(signer.times) // rows)
+        by = np.argsort(keys, kind="stable")
+        first = np.zeros(1 << 16, bool)
+        first[keys >> U64(48)] = True
+        out[kind] = Table(keys[by], owner[by], first, known[own[0]].step)
     return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, containment: float = 0.8, probability: float = 0.9999, rows: int = 2) -> DataFrame:
+def _banded(sign: np.ndarray, rows: int) -> np.ndarray:
+    """The band keys of one signature."""
+    keys = np.zeros(len(sign) // rows, np.uint64)
+    for i in range(len(keys) * rows):
+        keys[i // rows] = keys[i // rows] * U64(GOLD) + sign[i]
+    return np.array([_key(k[None], band)[0] for band, k in enumerate(keys)], np.uint64)
+
+
+def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, containment: float = 0.8, probability: float = 0.9999, rows: int = 1) -> DataFrame:
     """``docs`` with ``n_words`` and ``licenses``: for each stretch that matches a template its name, first word, end and containment.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lowered; shingles have five words (shorter templates: all of
-    theirs). A window matches if it holds at least ``containment`` of a template's shingles. Windows overlap so that one holds any
-    stretch of the template's length whole; its Jaccard similarity is then 0.5 at least, where the bands collide with
-    ``probability``. Overlapping matches of a template are one, with the best window's figures. Windows without any shingle of a template
-    aren't signed: they could not match. Null and empty texts match nothing; repeated rows stay; columns of ``docs`` named
-    n_words or licenses are replaced; an empty table gives no rows. Templates without words are passed over.
+    theirs). A window matches if it holds at least ``containment`` of a template's different shingles. Windows overlap so that one
+    holds any stretch of the template's length whole; its Jaccard similarity is then ``SIMILARITY`` at least, where the bands
+    collide with ``probability``. Overlapping matches of a license are one, with the best window's figures, the first of equals.
+    Null and empty texts match nothing; repeated rows stay; columns of ``docs`` named n_words or licenses are replaced; an empty
+    table gives no rows. Templates without words are passed over.
     """
     docs = docs.drop("n_words", "licenses")
     names = docs.columns
-    count = bands(0.5, probability, rows) * rows
-    seeds = np.random.default_rng(5).integers(0, 2**64, count, dtype=np.uint64)
-    known = [t for name, texts in templates.items() for text in texts if (t := _Template(name, text, seeds, rows)).n]
-
-    def match(codes: np.ndarray, ends: np.ndarray, firsts: np.ndarray, t: _Template, hashed: np.ndarray):
-        """(start, end, containment) of matching windows, ascending."""
-        hits = np.flatnonzero(np.isin(hashed, t.shingles))
-        hits = hits[hits + t.size <= ends[hits]]
-        if not len(hits):
-            return []
-        width, step = window_of(t.n)
-        # Windows begin at multiples of the step from the start of their text; those that hold a hit.
-        back = np.arange(-(-width // step) + 1)
-        start = np.unique((((hits - firsts[hits]) // step)[:, None] - back) * step + firsts[hits][:, None])
-        start = start[start >= 0]
-        start = start[(firsts[np.minimum(start, len(codes) - 1)] <= start)]
-        start = np.unique(start)
-        n = width - t.size + 1
-        at = start[:, None] + np.arange(n)
-        real = at + t.size <= ends[start][:, None]
-        shingles = hashed[np.minimum(at, len(codes) - 1)]
-        found = (_band_keys(shingles, real, seeds, rows) == t.keys).any(axis=1)
-        start, shingles, real = start[found], shingles[found], real[found]
-        share = np.array([len(np.intersect1d(s[r], t.shingles)) / len(t.shingles) for s, r in zip(shingles, real)])
-        good = share >= containment
-        return list(zip(start[good].tolist(), np.minimum(start[good] + width, ends[start[good]]).tolist(), share[good].tolist()))
+    known = [t for name, texts in templates.items() for text in texts if (t := template(name, text))]
+    signer = Signer(bands(SIMILARITY, probability, rows) * rows)
+    tables = tables_of(known, signer, rows)
+
+    def candidates(hashed: np.ndarray, bounds: np.ndarray, size: int) -> dict[int, np.ndarray]:
+        """For each template of one shingle size the starts of the windows that share a band with it."""
+        own = {window: table for (n, window), table in tables.items() if n == size}
+        counts = np.diff(bounds)
+        ends = np.repeat(bounds[1:], counts)
+        # The place behind a text's last shingle ends its windows.
+        stop = np.repeat(bounds[1:] - np.minimum(size - 1, counts), counts)
+        real = np.arange(len(hashed)) < stop
+        inner = np.arange(len(hashed)) - np.repeat(bounds[:-1], counts)
+        starts = {window: np.flatnonzero((inner % table.step == 0) & real) for window, table in own.items()}
+        found: dict[int, list[np.ndarray]] = {}
+        partial = {window: np.zeros(len(at), np.uint64) for window, at in starts.items()}
+        for i, least in enumerate(signer.of_windows(hashed, real, ends, starts)):
+            for window, values in least.items():
+                partial[window] = partial[window] * U64(GOLD) + values if rows > 1 else values
+                if i % rows == rows - 1:
+                    at, which = own[window].look_up(_key(partial[window], i // rows))
+                    partial[window] = np.zeros(len(starts[window]), np.uint64) if rows > 1 else values
+                    for t in np.unique(which):
+                        found.setdefault(int(t), []).append(starts[window][at[which == t]])
+        return {t: np.unique(np.concatenate(x)) for t, x in found.items()}
+
+    def verified(hashed: np.ndarray, bounds: np.ndarray, t: _Template, starts: np.ndarray):
+        """(start, end, containment) of the windows that hold enough of a template, ascending."""
+        text = np.searchsorted(bounds, starts, "right") - 1
+        for a, end in zip(starts.tolist(), bounds[text + 1].tolist()):
+            last = min(a + t.window, end - t.words + 1)
+            share = len(np.intersect1d(hashed[a:last], t.shingles)) / len(t.shingles)
+            if share >= containment:
+                yield a, min(a + t.window + t.words - 1, end), share
 
     def each(batches):
         for batch in batches:
@@ -122,11 +208,13 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str
                 n_words += np.diff(bounds).tolist()
                 if not len(codes):
                     continue
-                ends, firsts = np.repeat(bounds[1:], np.diff(bounds)), np.repeat(bounds[:-1], np.diff(bounds))
-                hashed = {size: mix(rolling(codes, size)) for size in {t.size for t in known}}
-                for name in dict.fromkeys(t.name for t in known):
-                    windows = sorted(x for t in known if t.name == name for x in match(codes, ends, firsts, t, hashed[t.size]))
-                    for a, b, share in windows:
+                matches: dict[str, list] = {}
+                for size in sorted({t.words for t in known}):
+                    hashed = mix(rolling(codes, size))
+                    for t, at in candidates(hashed, bounds, size).items():
+                        matches.setdefault(known[t].name, []).extend(verified(hashed, bounds, known[t], at))
+                for name in (n for n in templates if n in matches):
+                    for a, b, share in sorted(matches[name]):
                         doc = int(np.searchsorted(bounds, a, "right")) - 1
                         a, b = a - int(bounds[doc]), b - int(bounds[doc])
                         own = found[i + doc]
