@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 import zlib
+from html import escape, unescape
 
 import pandas as pd
 import xxhash
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+GZIP = b"\x1f\x8b"
+#: windows-1252 by byte; the five that it leaves open are the controls of the same number.
+_BYTES = "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in range(256))
+
+
 def is_retryable_status(status: Column) -> Column:
     return (status == 429) | status.between(500, 599)
 
@@ -72,20 +78,34 @@ def jitter_ms(url: pd.Series, attempt: pd.Series, nanos: pd.Series) -> pd.Series
     return pd.Series([xxhash.xxh3_64_intdigest(f"{u}:{a}:{n}".encode()) % 250 for u, a, n in zip(url, attempt, nanos)])
 
 
+#: Labels that the web reads as windows-1252, whatever their names say.
+_WINDOWS_1252 = frozenset("ansi_x3.4-1968 ascii cp1252 cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 l1 latin1 us-ascii windows-1252 x-cp1252".split())
+
+
+def inflated(body: bytes, most: int = 8 << 20) -> bytes:
+    """A gzip body as it was, up to ``most`` bytes; one that is broken or cut off, or no gzip, as it is."""
+    if body[:2] != GZIP:
+        return body
+    unzip = zlib.decompressobj(31)
+    try:
+        out = unzip.decompress(body, most)
+    except zlib.error:
+        return body
+    return out if unzip.eof or len(out) == most else body
+
+
 def decode(body: bytes | None, charset: str | None, most: int = 8 << 20) -> str | None:
-    """A body as text: inflated if it is gzip (up to ``most`` bytes), by its charset if known, else as UTF-8 with replacements."""
+    """A body as text: inflated if it is gzip, by its charset if that is known to the web, else as UTF-8 with replacements."""
     if body is None:
         return None
-    if body[:2] == b"\x1f\x8b":
-        try:
-            body = zlib.decompressobj(31).decompress(body, most)
-        except zlib.error:
-            return None
+    name = (charset or "utf-8").strip().lower()
+    if name in _WINDOWS_1252:
+        return codecs.charmap_decode(inflated(body, most), "replace", _BYTES)[0]
     try:
-        codecs.lookup(charset or "utf-8")
+        codecs.lookup(name)
+        return inflated(body, most).decode(name, "replace")
     except LookupError:
-        charset = None
-    return body.decode(charset or "utf-8", "replace")
+        return inflated(body, most).decode("utf-8", "replace")
 
 
 @F.pandas_udf(T.StringType())
@@ -96,8 +116,11 @@ def decode_body(body: pd.Series, charset: pd.Series) -> pd.Series:
 _MARKS = re.compile(r"(</?b>)")
 
 
-def safe_snippet(snippet: str) -> str:
+def safe_text(snippet: str | None) -> str:
     """A snippet for a page: its own ``<b>`` marks stay, all else is escaped once."""
-    from html import escape, unescape
-
     return "".join(p if _MARKS.fullmatch(p) else escape(unescape(p)) for p in _MARKS.split(snippet or ""))
+
+
+@F.pandas_udf(T.StringType())
+def safe_snippet(snippets: pd.Series) -> pd.Series:
+    return snippets.map(safe_text)

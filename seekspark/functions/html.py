@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import re
+import zlib
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -175,6 +178,12 @@ def resolve_links(hrefs: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve([] if h is None else list(h), b or "") for h, b in zip(hrefs, base)])
 
 
+@F.pandas_udf(LINKS)
+def decode_all(texts: pd.Series) -> pd.Series:
+    """Character references of all texts of a list."""
+    return texts.map(lambda xs: [decode(x) for x in xs], na_action="ignore")
+
+
 def collapse_whitespace(text: Column) -> Column:
     """Runs of Unicode white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -190,12 +199,25 @@ def sitemap_urls(body: Column) -> Column:
     found = F.regexp_extract_all(body, F.lit(r"(?is)<loc(?:\s[^>]*)?>(.*?)</loc"), F.lit(1))
     bare = F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
 
-    def plain(x: Column) -> Column:
-        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-            x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
-        return x
+    return F.filter(decode_all(bare), lambda x: x.rlike("(?i)^https?://"))
+
+
+def locations(body: bytes | None) -> list[str]:
+    """The texts of all ``loc`` elements, whatever their namespace, of XML that may be gzip; none if it is broken."""
+    if not body:
+        return []
+    try:
+        root = ElementTree.fromstring(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body)
+    except (ElementTree.ParseError, OSError, EOFError, zlib.error, ValueError, LookupError):
+        return []
+    found = (e.text.strip() for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "loc" and e.text)
+    return [x for x in found if x]
 
-    return F.filter(F.transform(bare, plain), lambda x: x.rlike("(?i)^https?://"))
+
+@F.pandas_udf(LINKS)
+def xml_locations(body: pd.Series) -> pd.Series:
+    """:func:`locations` of binary bodies."""
+    return body.map(locations)
 
 
 def is_sitemap_index(body: Column) -> Column:

@@ -100,3 +100,24 @@ def allowed(paths: DataFrame, rules: DataFrame, on: str = "host", path: str = "p
 def policy_when_missing(status: Column) -> Column:
     """What holds if robots.txt isn't there: all is allowed for a day after a 404, nothing for five minutes after another failure."""
     return F.when(status == 404, F.struct(F.lit(True).alias("allow_all"), F.lit(86400).alias("ttl_s"))).otherwise(F.struct(F.lit(False).alias("allow_all"), F.lit(300).alias("ttl_s")))
+
+
+#: Where a sitemap lies by custom, if robots.txt names none.
+USUAL_SITEMAPS = ("/sitemap.xml", "/sitemap.xml.gz", "/sitemap_index.xml", "/sitemap-index.xml")
+
+
+def named_sitemaps(body: Column, origin: Column) -> Column:
+    """The sitemaps that a robots.txt names, in order; relative ones belong to its origin."""
+    values = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?im)^[\t ]*sitemap[\t ]*:[\t ]*(\S[^\r\n]*?)[\t ]*$"), F.lit(1))
+    scheme = F.substring_index(origin, "//", 1)
+    return F.transform(values, lambda v: F.when(v.rlike("(?i)^[a-z][a-z0-9+.-]*:"), v).when(v.startswith("//"), F.concat(scheme, v)).when(v.startswith("/"), F.concat(origin, v)).otherwise(F.concat(origin, F.lit("/"), v)))
+
+
+def discover_sitemaps(sites: DataFrame, answering: DataFrame) -> DataFrame:
+    """(site, sitemap) of sites (site, robots): those that robots.txt names, else the first usual place among the URLs (url) that answer."""
+    named = sites.select("site", named_sitemaps(F.col("robots"), F.col("site")).alias("named"))
+    told = named.select("site", F.explode("named").alias("sitemap"))
+    guesses = F.array(*(F.struct(F.lit(i).alias("n"), F.concat("site", F.lit(p)).alias("url")) for i, p in enumerate(USUAL_SITEMAPS)))
+    tried = named.filter(F.size("named") == 0).select("site", F.explode(guesses).alias("g")).select("site", "g.*")
+    found = tried.join(answering.select("url").distinct(), "url", "left_semi").groupBy("site").agg(F.min_by("url", "n").alias("sitemap"))
+    return told.unionByName(found)

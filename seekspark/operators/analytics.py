@@ -105,9 +105,16 @@ def crawl_age(updated_at: Column, now: float, stale_after: float = 10.0) -> Colu
 
 
 def crawl_counters(outcomes: DataFrame) -> DataFrame:
-    """One row of counts over a table of outcomes (kind, ok, off_site, asset, disallowed, redirected)."""
+    """One row of the nine counts of a crawl over a table of outcomes: links (kind ``link``: off_site, asset, fresh) and visits (``page``, ``sitemap``, ``disallowed``, ``failed``: redirected, dropped).
+
+    A link that leaves the scope or leads to an asset is skipped; a fresh other one is queued. A page is fetched, and indexed unless
+    it was dropped for where it was redirected to.
+    """
+    kind, off, asset = F.col("kind"), F.coalesce("off_site", F.lit(False)), F.coalesce("asset", F.lit(False))
+    link, page = kind == "link", kind == "page"
+    dropped = F.coalesce("dropped", F.lit(False))
     return outcomes.agg(
-        F.count("*").alias("seen"), F.count_if("off_site").alias("skipped_offsite"), F.count_if(F.expr("NOT off_site AND asset")).alias("skipped_assets"),
-        F.count_if(F.expr("NOT off_site AND NOT asset")).alias("queued"), F.count_if(F.expr("kind = 'sitemap'")).alias("sitemaps"),
-        F.count_if("disallowed").alias("disallowed"), F.count_if("redirected").alias("redirected_offsite"),
+        F.count_if(link & ~off & ~asset & F.coalesce("fresh", F.lit(False))).alias("queued"), F.count_if(page & ~dropped).alias("fetched"), F.count_if(page & ~dropped).alias("indexed"),
+        F.count_if(kind == "failed").alias("failed"), F.count_if(kind == "disallowed").alias("disallowed"), F.count_if((kind == "sitemap") & ~dropped).alias("sitemaps"),
+        F.count_if(link & off).alias("skipped_offsite"), F.count_if(link & ~off & asset).alias("skipped_assets"), F.count_if(F.coalesce("redirected", F.lit(False))).alias("redirected_offsite"),
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekspark.functions import robots, urls
+from seekspark.functions import fetching, html, robots, urls
 from seekspark.operators import analytics, engine, frontier, graph
-from seekspark.plans.registry import EDGES_SQL, Registry, page_edges, values
+from seekspark.plans.registry import EDGES_SQL, Registry, gzipped, names, page_edges, values
 from seekspark.plans.url_queries import CANONICAL
 from seekspark.sources.tables import table
 
@@ -165,17 +165,17 @@ def q_robots_allows(spark, sf_dir):
     return robots.allowed(paths, spark.createDataFrame(_RULES, "host string, pattern string, is_allow boolean")).select("page_id", "allowed")
 
 
-_ROBOTS = [
-    (1, "User-agent: *\nDisallow: /a # no\nCrawl-delay: 1.2\n\nUser-agent: seek\nUser-agent: other\nAllow: /b\nSitemap: https://x.example/s.xml", "|/b||https://x.example/s.xml"),
-    (2, "user-agent: *\nDISALLOW: /c\nDisallow:\ncrawl-delay: soon", "/c|||"), (3, "Disallow: /x", "|||"), (4, "User-agent: *\nCrawl-delay: -5\nCrawl-delay: 0.2", "||1|"),
-]
+#: A robots.txt for each page: a group for all, and one for two agents, whose names and rules follow the page.
+_ROBOTS = """'User-agent: *' || chr(10) || 'Disallow: /all/' || page_id || ' # not here' || chr(10) || 'Crawl-delay: ' || page_id % 7 || '.2' || chr(10) || chr(10) || 'user-agent: ' || CASE WHEN page_id % 2 = 0 THEN 'SEEK' ELSE 'other' END || chr(10)
+    || 'User-agent: third' || chr(10) || 'ALLOW: /own/' || page_id || chr(10) || 'Disallow:' || chr(10) || 'Sitemap: https://x.example/' || page_id || '.xml'"""
 
 
-@REGISTRY.query(f"SELECT id::BIGINT AS id, said FROM {values([(i, s) for i, _, s in _ROBOTS], 'id, said')}")
+@REGISTRY.query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '|/own/' || page_id || '|' ELSE '/all/' || page_id || '||' || (page_id % 7 + 1) END || '|https://x.example/' || page_id || '.xml' AS said FROM pages")
 def q_robots_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(i, b) for i, b, _ in _ROBOTS], "id long, body string").select("id", robots.parse_robots(F.col("body"), "Seekbot/1.0").alias("r"))
+    """The group that an agent gets: its own where there is one, else that for all; sitemaps hold for everyone."""
+    rows = table(spark, sf_dir, "pages").select("page_id", robots.parse_robots(F.expr(_ROBOTS), "Seekbot/1.0").alias("r"))
     joined = lambda c: F.array_join(f"r.{c}", ",")
-    return rows.select("id", F.concat_ws("|", joined("disallow"), joined("allow"), F.coalesce(F.col("r.crawl_delay_s").cast("string"), F.lit("")), joined("sitemaps")).alias("said"))
+    return rows.select("page_id", F.concat_ws("|", joined("disallow"), joined("allow"), F.coalesce(F.col("r.crawl_delay_s").cast("string"), F.lit("")), joined("sitemaps")).alias("said"))
 
 
 _INTERLEAVED = f"""(WITH s AS (SELECT page_id AS seq, {_WEB_HOST} AS site, substr(url, 1, length(url) - page_id::INT % 2) AS url FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq) - 1 AS depth, min(seq) OVER (PARTITION BY site) AS ss FROM s),
@@ -197,11 +197,123 @@ def q_seed_slices(spark, sf_dir):
     return frontier.slices(frontier.interleave(_seeds(spark, sf_dir), 40)).select("place", "slice")
 
 
-@REGISTRY.query("""SELECT count(*)::BIGINT AS seen, count(*) FILTER (page_id % 4 = 0)::BIGINT AS skipped_offsite, count(*) FILTER (page_id % 4 <> 0 AND contains(url, '.html'))::BIGINT AS skipped_assets,
-    count(*) FILTER (page_id % 4 <> 0 AND NOT contains(url, '.html'))::BIGINT AS queued, count(*) FILTER (page_id % 3 = 0)::BIGINT AS sitemaps, count(*) FILTER (page_id % 5 = 0)::BIGINT AS disallowed, count(*) FILTER (page_id % 7 = 0)::BIGINT AS redirected_offsite FROM pages""")
+_OUTCOMES = """(SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'page' WHEN 1 THEN 'sitemap' WHEN 2 THEN 'disallowed' WHEN 3 THEN 'failed' ELSE 'link' END AS kind, page_id % 4 = 0 AS off_site, contains(url, '.html') AS asset, page_id % 5 <> 0 AS fresh,
+    page_id % 6 < 2 AND page_id % 7 = 0 AS redirected, page_id % 6 < 2 AND page_id % 21 = 0 AS dropped FROM pages)"""
+
+
+@REGISTRY.query(f"""SELECT count(*) FILTER (kind = 'link' AND NOT off_site AND NOT asset AND fresh)::BIGINT AS queued, count(*) FILTER (kind = 'page' AND NOT dropped)::BIGINT AS fetched, count(*) FILTER (kind = 'page' AND NOT dropped)::BIGINT AS indexed,
+    count(*) FILTER (kind = 'failed')::BIGINT AS failed, count(*) FILTER (kind = 'disallowed')::BIGINT AS disallowed, count(*) FILTER (kind = 'sitemap' AND NOT dropped)::BIGINT AS sitemaps, count(*) FILTER (kind = 'link' AND off_site)::BIGINT AS skipped_offsite,
+    count(*) FILTER (kind = 'link' AND NOT off_site AND asset)::BIGINT AS skipped_assets, count(*) FILTER (redirected)::BIGINT AS redirected_offsite FROM {_OUTCOMES}""")
 def q_crawl_counters(spark, sf_dir):
     i = F.col("page_id")
-    return analytics.crawl_counters(table(spark, sf_dir, "pages").select(F.when(i % 3 == 0, "sitemap").otherwise("page").alias("kind"), (i % 4 == 0).alias("off_site"), F.col("url").contains(".html").alias("asset"), (i % 5 == 0).alias("disallowed"), (i % 7 == 0).alias("redirected")))
+    kind = F.when(i % 6 == 0, "page").when(i % 6 == 1, "sitemap").when(i % 6 == 2, "disallowed").when(i % 6 == 3, "failed").otherwise("link")
+    visit = i % 6 < 2
+    outcomes = table(spark, sf_dir, "pages").select(kind.alias("kind"), (i % 4 == 0).alias("off_site"), F.col("url").contains(".html").alias("asset"), (i % 5 != 0).alias("fresh"), (visit & (i % 7 == 0)).alias("redirected"), (visit & (i % 21 == 0)).alias("dropped"))
+    return analytics.crawl_counters(outcomes)
+
+
+_ASSET = f"regexp_extract(regexp_replace(lower(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^.*/', '')), '\\.gz$', ''), '^.+\\.([^.]*)$', 1) IN ({names(urls.NOT_PAGES)})"
+_LINKS_TWICE = f"(SELECT url, {_WEB_HOST} AS host, {_ASSET} AS asset FROM (SELECT CASE WHEN page_id % 6 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.png' ELSE url END AS url FROM {_SEEN}), range(2))"
+
+
+@REGISTRY.query(f"""SELECT count(*) FILTER (NOT ends_with(host, '.org'))::BIGINT AS skipped_offsite, count(*) FILTER (ends_with(host, '.org') AND asset)::BIGINT AS skipped_assets,
+    count(DISTINCT CASE WHEN ends_with(host, '.org') AND NOT asset AND NOT starts_with(url, 'http://') THEN url END)::BIGINT AS queued FROM {_LINKS_TWICE}""")
+def q_schedule_counters(spark, sf_dir):
+    """What scheduling all pages as links, twice, skips and queues; every sixth leads to a picture."""
+    pages = table(spark, sf_dir, "pages").withColumn("url", urls.canonical_url(F.col("url")))
+    picture = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(".png"))
+    links = pages.select(F.when(F.col("page_id") % 6 == 0, picture).otherwise(F.col("url")).alias("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
+    scope = pages.select(urls.crawl_host(F.col("url")).alias("host")).filter(F.col("host").endswith(".org"))
+    return frontier.schedule_counters(links.unionAll(links), links.filter(F.col("url").startswith("http://")), scope)
+
+
+@REGISTRY.query(f"SELECT min(page_id)::BIGINT AS seq, url, 1::BIGINT AS depth FROM {_SEEN} GROUP BY url")
+def q_sitemap_jobs(spark, sf_dir):
+    """The pages as a sitemap lists them: one hop from the seeds."""
+    found = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("seq"))
+    return frontier.schedule(frontier.sitemap_jobs(found)).select("seq", "url", "depth")
+
+
+_FINAL = _WEB_HOST.replace("(url,", "(final_url,")
+
+
+@REGISTRY.query(f"""SELECT *, NOT ends_with({_FINAL}, '.org') AS redirected_offsite FROM (SELECT a.page_id, coalesce(b.url, a.url) AS final_url FROM {_SEEN} a LEFT JOIN {_SEEN} b ON b.page_id = a.page_id // 2 AND a.page_id % 3 = 0)""")
+def q_redirects(spark, sf_dir):
+    """Every third page is redirected to another; the scope is the hosts under .org."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
+    aim = F.when(F.col("page_id") % 3 == 0, F.floor(F.col("page_id") / 2))
+    visits = pages.withColumn("aim", aim).join(pages.select(F.col("page_id").alias("aim"), F.concat("url", F.lit("#top")).alias("final_url")), "aim", "left")
+    scope = pages.select(urls.crawl_host(F.col("url")).alias("host")).filter(F.col("host").endswith(".org"))
+    return frontier.after_redirects(visits, scope).select("page_id", "final_url", "redirected_offsite")
+
+
+@REGISTRY.query(f"SELECT host, max(seq)::BIGINT AS next_allowed_at_ms FROM {_FRONTIER} GROUP BY host ORDER BY host LIMIT 20")
+def q_host_snapshot(spark, sf_dir):
+    return frontier.host_snapshot(_frontier(spark, sf_dir).groupBy("host").agg(F.max("seq").alias("next_allowed_at_ms")), 20)
+
+
+@REGISTRY.query(f"SELECT count(DISTINCT host)::BIGINT AS n, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM {_FRONTIER}")
+def q_sorted_hosts(spark, sf_dir):
+    return frontier.sorted_hosts(_frontier(spark, sf_dir)).select(F.size("hosts").alias("n"), F.array_join("hosts", ",").alias("hosts"))
+
+
+_SITES = f"(SELECT host AS h, 'https://' || host AS site FROM (SELECT DISTINCT {_WEB_HOST} AS host FROM pages))"
+
+
+@REGISTRY.query(f"""SELECT site, unnest([site || '/maps/a.xml', 'https://cdn.example/' || h || '.xml']) AS sitemap FROM {_SITES} WHERE length(h) % 3 <> 0
+    UNION ALL SELECT site, site || CASE WHEN length(h) % 2 = 0 THEN '/sitemap.xml.gz' ELSE '/sitemap-index.xml' END FROM {_SITES} WHERE length(h) % 3 = 0 AND length(h) % 5 <> 0""")
+def q_sitemap_discovery(spark, sf_dir):
+    """Hosts whose robots.txt names sitemaps, relative and absolute, and others that have one in a usual place, or none."""
+    host = _frontier(spark, sf_dir).select("host").distinct()
+    rules = F.concat(F.lit("User-agent: *\nSITEMAP : /maps/a.xml \nSitemap: https://cdn.example/"), F.col("host"), F.lit(".xml"))
+    sites = host.select(F.concat(F.lit("https://"), "host").alias("site"), F.when(F.length("host") % 3 == 0, "").otherwise(rules).alias("robots"))
+    there = F.when(F.length("host") % 5 != 0, F.concat(F.lit("https://"), "host", F.when(F.length("host") % 2 == 0, "/sitemap.xml.gz").otherwise("/sitemap-index.xml")))
+    later = F.when(there.isNotNull(), F.concat(F.lit("https://"), "host", F.lit("/sitemap-index.xml")))
+    return robots.discover_sitemaps(sites, host.select(F.explode(F.array(there, later)).alias("url")).filter("url IS NOT NULL"))
+
+
+@REGISTRY.query(f"SELECT host, unnest(u) AS loc FROM (SELECT {_WEB_HOST} AS host, list(url ORDER BY page_id) AS u FROM pages GROUP BY 1) WHERE length(host) % 4 <> 0")
+def q_xml_locations(spark, sf_dir):
+    """A sitemap of each host's pages, in a namespace, some as gzip, some broken: for the reader that wants whole XML."""
+    line = F.concat(F.lit("<s:url><s:loc> "), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n</s:loc></s:url>"))
+    rows = table(spark, sf_dir, "pages").select(urls.crawl_host(F.col("url")).alias("host"), "page_id", line.alias("line"))
+    whole = rows.groupBy("host").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]), "").alias("lines"))
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9">'), "lines", F.when(F.length("host") % 4 == 0, "</s:url>").otherwise("</s:urlset>"))
+    body = F.when(F.length("host") % 3 == 0, gzipped(xml)).otherwise(xml.cast("binary"))
+    return whole.select("host", F.explode(html.xml_locations(body)).alias("loc"))
+
+
+@REGISTRY.query("SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN html END AS text FROM pages")
+def q_decode_body(spark, sf_dir):
+    """Pages as they come over the wire, gzip or plain, in the charset that their header names, read back."""
+    i = F.col("page_id")
+    latin = (i % 3 == 1) & ~F.col("html").rlike(r"[^\x00-\x7f\xa0-\xff]")
+    wire = F.when(i % 7 == 0, None).when(latin, F.encode("html", "ISO-8859-1")).when(i % 2 == 0, gzipped(F.col("html"))).otherwise(F.encode("html", "UTF-8"))
+    header = F.when(latin, "text/html; charset=ISO-8859-1").when(i % 4 == 0, "text/html").otherwise('text/html; charset="utf-8"')
+    return table(spark, sf_dir, "pages").select("page_id", fetching.decode_body(wire, fetching.charset_of(header)).alias("text"))
+
+
+@REGISTRY.query("SELECT page_id, CASE WHEN asked <= 30000 THEN greatest(asked, least(250 * pow(2, page_id % 12), 30000)::BIGINT + page_id % 250) END::BIGINT AS delay_ms FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 0 ELSE page_id % 60 * 1000 END AS asked FROM pages)")
+def q_retry_decision(spark, sf_dir):
+    """Tries of a page after a failure, some with a Retry-After; none is left where the server asks for more than the cap."""
+    i = F.col("page_id")
+    header = F.when(i % 3 != 0, (i % 60).cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", fetching.retry_delay_ms(fetching.parse_retry_after(header), fetching.backoff_ms(i % 12), i % 250).alias("delay_ms"))
+
+
+@REGISTRY.query(f"""SELECT page_id, regexp_replace({_HOST('url')}, '^www\\.', '') || CASE WHEN len(s) = 0 THEN '' ELSE ' › ' || array_to_string(list_transform(s[1:3], lambda x: url_decode(x)), ' › ') END AS crumbs
+    FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages)""")
+def q_breadcrumb(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.breadcrumb(F.col("url")).alias("crumbs"))
+
+
+@REGISTRY.query(f"SELECT host, (3 * inlinks)::BIGINT AS inlinks FROM {_INLINKS}")
+def q_drain_host_totals(spark, sf_dir):
+    """Cross-site links kept over three batches, each of which runs twice and counts once."""
+    from seekspark.streaming import drain
+
+    edges = page_edges(table(spark, sf_dir, "pages"))
+    return drain.host_totals_after([edges, edges, edges])
 
 
 @REGISTRY.query("SELECT CASE WHEN kind = 'text/html' THEN 'page' WHEN kind = 'application/xml' OR regexp_matches(url, '\\.xml$') THEN 'sitemap' ELSE 'page' END AS class, count(*)::BIGINT AS n FROM (SELECT url, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/xml' END AS kind FROM pages) GROUP BY 1")
@@ -210,14 +322,16 @@ def q_classify(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(urls.classify(F.col("url"), kind).alias("class")).agg(F.count("*").alias("n"))
 
 
-@REGISTRY.query("SELECT status, status = 404 AS allow_all, CASE WHEN status = 404 THEN 86400 ELSE 300 END::BIGINT AS ttl_s FROM (SELECT unnest([404, 500, 403])::BIGINT AS status)")
+@REGISTRY.query("SELECT page_id, status, status = 404 AS allow_all, CASE WHEN status = 404 THEN 86400 ELSE 300 END::BIGINT AS ttl_s FROM (SELECT page_id, 400 + page_id % 120 AS status FROM pages)")
 def q_robots_missing(spark, sf_dir):
-    return spark.createDataFrame([(404,), (500,), (403,)], "status long").select("status", robots.policy_when_missing(F.col("status")).alias("p")).select("status", "p.*")
+    rows = table(spark, sf_dir, "pages").select("page_id", (400 + F.col("page_id") % 120).alias("status"))
+    return rows.select("page_id", "status", robots.policy_when_missing(F.col("status")).alias("p")).select("page_id", "status", "p.*")
 
 
-@REGISTRY.query("SELECT n, ceil(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS bits, greatest(1, round(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS hashes FROM (SELECT unnest([1000, 5000000, 100000000])::BIGINT AS n)")
+@REGISTRY.query("SELECT n, ceil(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS bits, greatest(1, round(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS hashes FROM (SELECT 1000 * (1 + o_orderkey % 1000) AS n FROM orders GROUP BY 1)")
 def q_bloom_size(spark, sf_dir):
-    return spark.createDataFrame([(n, *frontier.bloom_size(n, 0.01)[:2]) for n in (1000, 5_000_000, 100_000_000)], "n long, bits long, hashes long")
+    rows = table(spark, sf_dir, "orders").select((1000 * (1 + F.col("o_orderkey") % 1000)).alias("n")).distinct().collect()  # a thousand sizes
+    return spark.createDataFrame([(r["n"], *frontier.bloom_size(r["n"], 0.01)[:2]) for r in rows], "n long, bits long, hashes long")
 
 
 @REGISTRY.query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES_SQL}), r AS (SELECT url, 0 AS depth FROM pages WHERE regexp_matches(url, '://(www|blog)') UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)

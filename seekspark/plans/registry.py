@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +75,9 @@ def query_log(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"), F.col("event_type").alias("query"), F.col("value").alias("took_ms"), k.alias("total_matches"), F.least(k, F.lit(10).cast("long")).alias("returned"),
         (F.col("user_id") % 2 == 0).alias("cached"), (F.col("event_type") == "error").alias("failed"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"),
     )
+
+
+@F.pandas_udf("binary")
+def gzipped(text: pd.Series) -> pd.Series:
+    """Texts as a server may send them; for inputs of queries."""
+    return text.map(lambda t: gzip.compress(t.encode(), mtime=0), na_action="ignore")

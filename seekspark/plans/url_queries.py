@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekspark.functions import fetching, html, urls
+from seekspark.functions import fetching, html, phrases, urls
 from seekspark.plans.registry import Registry, names, values
 from seekspark.sources.tables import table
 
@@ -173,42 +173,82 @@ def q_record_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fetching.record_id("url", fetched_at()).alias("record_id"))
 
 
-_SITEMAPS = [
-    (1, "<urlset><url><loc>https://a.example/1</loc></url><url><loc> https://a.example/2?x=1&amp;y=2 </loc></url></urlset>", "https://a.example/1|https://a.example/2?x=1&y=2"),
-    (2, "<sitemapindex><sitemap><LOC><![CDATA[http://b.example/s.xml]]></LOC></sitemap></sitemapindex>", "http://b.example/s.xml"),
-    (3, "<urlset><url><loc>ftp://c.example/</loc></url><url><loc>https://c.example/ok</loc><loc>https://c.example/cut", "https://c.example/ok"),
-]
+_LISTED = "'<urlset><url><LOC>' || replace(url, '&', '&amp;') || '</LOC></url><url><loc> <![CDATA[https://c.example/' || page_id || ']]> </loc></url><loc>ftp://f.example/</loc><loc>https://a.example/&#228;&eacute;&quot;</loc><loc>' || url"
 
 
-@REGISTRY.query(f"SELECT id::BIGINT AS id, urls, id = 2 AS is_index FROM {values([(i, u) for i, _, u in _SITEMAPS], 'id, urls')}")
+@REGISTRY.query("SELECT page_id, url || '|https://c.example/' || page_id || '|https://a.example/äé\"' AS urls, page_id % 4 = 0 AS is_index FROM pages")
 def q_sitemap_urls(spark, sf_dir):
-    rows = spark.createDataFrame([(i, b) for i, b, _ in _SITEMAPS], "id long, body string")
-    return rows.select("id", F.array_join(html.sitemap_urls(F.col("body")), "|").alias("urls"), html.is_sitemap_index(F.col("body")).alias("is_index"))
+    """A sitemap for each page: CDATA, references by name and number, another scheme, and a record that isn't closed."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_LISTED).alias("body"))
+    index = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<SitemapIndex>"), "body")).otherwise(F.col("body"))
+    return rows.select("page_id", F.array_join(html.sitemap_urls(F.col("body")), "|").alias("urls"), html.is_sitemap_index(index).alias("is_index"))
 
 
-_TYPES = values([("text/html; charset=\"UTF-8\"",), ("application/xml",), ("application/xhtml+xml;charset=iso-8859-1",), ("image/png",), (None,)], "kind")
+_KINDS = ('text/html; charset="UTF-8"', "application/xml", "application/xhtml+xml;charset=iso-8859-1", "image/png", "TEXT/HTML; Charset='utf-8' ; x=1", "", None)
+_KIND = "CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '" + k.replace("'", "''") + "'" for i, k in enumerate(_KINDS) if k is not None) + " END"
 
 
-@REGISTRY.query(f"""SELECT kind, nullif(lower(trim(regexp_extract(kind, '(?i)charset=([^; \t]*)', 1), '"''')), '') AS charset, coalesce(contains(lower(kind), 'html') OR contains(lower(kind), 'xml'), true) AS html,
-    coalesce(contains(lower(kind), 'xml') AND NOT contains(lower(kind), 'html'), false) AS xml FROM {_TYPES}""")
+@REGISTRY.query(f"""SELECT page_id, nullif(lower(trim(regexp_extract(kind, '(?i)charset=([^; \t]*)', 1), '"''')), '') AS charset, coalesce(contains(lower(kind), 'html') OR contains(lower(kind), 'xml'), true) AS html,
+    coalesce(contains(lower(kind), 'xml') AND NOT contains(lower(kind), 'html'), false) AS xml FROM (SELECT page_id, {_KIND} AS kind FROM pages)""")
 def q_charset(spark, sf_dir):
-    kind = F.col("kind")
-    return spark.sql(f"SELECT * FROM {_TYPES}").select("kind", fetching.charset_of(kind).alias("charset"), urls.is_html_content_type(kind).alias("html"), urls.is_xml_content_type(kind).alias("xml"))
+    kind = F.get(F.array(*map(F.lit, _KINDS)), F.col("page_id") % 7)
+    return table(spark, sf_dir, "pages").select("page_id", fetching.charset_of(kind).alias("charset"), urls.is_html_content_type(kind).alias("html"), urls.is_xml_content_type(kind).alias("xml"))
 
 
-@REGISTRY.query("SELECT id AS attempt, least(250 * pow(2, least(id, 63)), 30000)::BIGINT AS backoff_ms, greatest(1000, id * 700)::BIGINT AS delay_ms, 400 + id * 25 = 429 OR 400 + id * 25 BETWEEN 500 AND 599 AS retry FROM (SELECT unnest(range(12)) AS id)")
+@REGISTRY.query("SELECT event_id, least(250 * pow(2, least(event_id % 70, 63)), 30000)::BIGINT AS backoff_ms, status = 429 OR status BETWEEN 500 AND 599 AS retry FROM (SELECT event_id, 400 + event_id % 230 AS status FROM events)")
 def q_backoff(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(12).select(i.alias("attempt"), fetching.backoff_ms(i).alias("backoff_ms"), F.greatest(F.lit(1000).cast("long"), i * 700).alias("delay_ms"), fetching.is_retryable_status(400 + i * 25).alias("retry"))
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", fetching.backoff_ms(i % 70).alias("backoff_ms"), fetching.is_retryable_status(400 + i % 230).alias("retry"))
 
 
-@REGISTRY.query(f"SELECT header, CASE WHEN regexp_matches(trim(header), '^[0-9]+$') THEN CAST(trim(header) AS BIGINT) * 1000 END AS ms FROM {values([('120',), (' 7 ',), ('Wed, 21 Oct 2015 07:28:00 GMT',), ('-1',), ('',), (None,)], 'header')}")
+_AFTER = "[page_id::VARCHAR, ' ' || page_id || ' ', 'Wed, 21 Oct 2015 07:28:00 GMT', '-' || page_id, '', NULL, '9223372036854775807', '+7'][1 + page_id % 8]"
+
+
+@REGISTRY.query(f"SELECT page_id, CASE WHEN regexp_matches(trim(header), '^[+]?[0-9]+$') THEN least(CAST(regexp_replace(trim(header), '^[+]', '') AS HUGEINT) * 1000, 9223372036854775807)::BIGINT END AS ms FROM (SELECT page_id, {_AFTER} AS header FROM pages)")
 def q_retry_after(spark, sf_dir):
-    rows = spark.createDataFrame([("120",), (" 7 ",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("-1",), ("",), (None,)], "header string")
-    return rows.select("header", fetching.parse_retry_after(F.col("header")).alias("ms"))
+    i = F.col("page_id").cast("string")
+    header = F.get(F.array(i, F.concat(F.lit(" "), i, F.lit(" ")), F.lit("Wed, 21 Oct 2015 07:28:00 GMT"), F.concat(F.lit("-"), i), F.lit(""), F.lit(None), F.lit("9223372036854775807"), F.lit("+7")), F.col("page_id") % 8)
+    return table(spark, sf_dir, "pages").select("page_id", fetching.parse_retry_after(header).alias("ms"))
 
 
-@REGISTRY.query(f"SELECT id::BIGINT AS id, greatest(1000, coalesce(delay * 1000, 0))::BIGINT AS ms FROM {values([(1, 0), (2, 5), (3, None)], 'id, delay')}")
+@REGISTRY.query("SELECT page_id, greatest(1000, coalesce(CASE WHEN page_id % 3 > 0 THEN page_id % 9 END * 1000, 0))::BIGINT AS ms FROM pages")
 def q_politeness(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 0), (2, 5), (3, None)], "id long, delay long")
-    return rows.select("id", fetching.politeness_delay_ms(F.col("delay")).alias("ms"))
+    delay = F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 9)
+    return table(spark, sf_dir, "pages").select("page_id", fetching.politeness_delay_ms(delay).alias("ms"))
+
+
+_HOURS = "printf('%.1f', s / 3600) || ' h'"
+
+
+@REGISTRY.query(f"""SELECT event_id, strftime(make_timestamp(event_id * 86399 * 1000000), '%d %b %Y, %H:%M UTC') AS date, strftime(make_timestamp(event_id * 86399 * 1000000), '%H:%M') AS clock,
+    CASE WHEN event_id % 11 = 0 THEN 'never' WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || ' s ago' WHEN s < 3600 THEN s // 60 || ' min ago' ELSE {_HOURS} || ' ago' END AS age,
+    replace(format('{{:,}}', event_id * 12347), ',', chr(8201)) AS count,
+    CASE WHEN event_id % 13 = 0 THEN 'no index reading yet' WHEN event_id % 5 = 0 THEN 'indexer idle' WHEN event_id % 11 <> 0 AND s > 60 THEN 'quiet ' || CASE WHEN s < 3600 THEN s // 60 || ' min' ELSE {_HOURS} END || ' · ' || replace(format('{{:,}}', event_id % 3000), ',', ' ') || '/min avg'
+    WHEN event_id % 3000 = 0 THEN 'indexer running' ELSE 'indexing ' || replace(format('{{:,}}', event_id % 3000), ',', ' ') || '/min' END AS state, event_id % 13 <> 0 AND event_id % 5 <> 0 AND (event_id % 11 = 0 OR s <= 60) AS live
+    FROM (SELECT event_id, event_id * 7919 % 20000 - 40 AS s FROM events) WHERE s % 180 <> 0 OR s < 3600""")
+def q_phrases(spark, sf_dir):
+    """Dates, ages, counts and the indexer's state in words. Ages halfway between two tenths of an hour are left out of the comparison: engines round them apart."""
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", (i * 7919 % 20000 - 40).alias("s")).filter("s % 180 <> 0 OR s < 3600")
+    age = F.when(i % 11 != 0, F.col("s"))
+    there, idle, rate = i % 13 != 0, i % 5 == 0, (i % 3000).cast("double")
+    return rows.select(
+        "event_id", phrases.format_date(i * 86399).alias("date"), phrases.format_clock(i * 86399).alias("clock"), phrases.format_age(age).alias("age"), phrases.format_count(i * 12347).alias("count"),
+        phrases.growth_state(there, idle, rate, age).alias("state"), phrases.growth_is_live(there, idle, age).alias("live"),
+    )
+
+
+@REGISTRY.query("SELECT event_id, greatest(1700000000 - seen, 0)::DOUBLE AS age_s, coalesce(greatest(1700000000 - seen, 0) > 10, true) AS stale FROM (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN 1700000000 - event_id % 25 + 3 END::DOUBLE AS seen FROM events)")
+def q_crawl_age(spark, sf_dir):
+    from seekspark.operators import analytics
+
+    seen = F.when(F.col("event_id") % 7 > 0, 1700000000 - F.col("event_id") % 25 + 3).cast("double")
+    return table(spark, sf_dir, "events").select("event_id", analytics.crawl_age(seen, 1700000000.0).alias("a")).select("event_id", "a.age_s", "a.stale")
+
+
+@REGISTRY.query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, NULL::VARCHAR AS missing FROM events")
+def q_known_fields(spark, sf_dir):
+    """Records cut down to the fields that are known; one of them none has."""
+    from seekspark.sources.tables import known_fields
+
+    return table(spark, sf_dir, "events").select("event_id", known_fields(F.col("props"), "k long, missing string").alias("r")).select("event_id", "r.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,6 +31,27 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def listing(spark: SparkSession, folder: str) -> list[tuple[str, int, bool]]:
+    """(name, bytes, whether it is a file) of what lies in a folder; nothing if it is missing."""
+    fs, where = _at(spark, folder)
+    return sorted((s.getPath().getName(), s.getLen(), s.isFile()) for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """(time of the last change, bytes) of a file; None if it is missing."""
+    fs, where = _at(spark, path)
+    if not fs.exists(where):
+        return None
+    status = fs.getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
+def size_below(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder; 0 if it is missing."""
+    fs, where = _at(spark, folder)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
@@ -83,9 +105,9 @@ def write_over(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
-    """A JSON file; None if it is missing or isn't whole."""
-    text = read_text(spark, path)
+    """A JSON file; None if it is missing, can't be read or isn't whole."""
     try:
+        text = read_text(spark, path)
         return None if text is None else json.loads(text)
-    except ValueError:
+    except (ValueError, Py4JJavaError):
         return None

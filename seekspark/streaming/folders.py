@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seekspark.sources.tables import shared_folder
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir; where that is unset, one of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 1) -> DataFrame:

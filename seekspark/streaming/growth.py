@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from seekspark.sources.tables import StateFile
+from seekspark.streaming.deltas import Deltas
 from seekspark.streaming.folders import new_folder, stream_of
 
 
@@ -25,10 +29,10 @@ def run_to_end(stream: DataFrame, mode: str, into) -> None:
 
 
 def replayed(spark: SparkSession, path: str) -> DataFrame:
-    """The minute windows after the last batch of a stream over a table."""
-    out = new_folder(spark, "growth")
-    run_to_end(windows(stream_of(spark, path)), "complete", lambda df, _: df.write.mode("overwrite").parquet(out))
-    return spark.read.parquet(out)
+    """The minute windows after the last batch of a stream over a table; a batch writes the windows that it changed."""
+    table = Deltas(spark, new_folder(spark, "growth"), "at")
+    run_to_end(windows(stream_of(spark, path), late="36500 days"), "update", table.write)
+    return table.read().select("at", "documents")
 
 
 def keep_figures(keys, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -43,35 +47,24 @@ def keep_figures(keys, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
 
 def per_key(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, events, highest) after the last batch."""
-    from seekspark.operators.engine import upsert
-
-    out = new_folder(spark, "state")
-
-    def keep(df: DataFrame, batch: int) -> None:
-        now = df.select("user_id", "events", "highest")
-        if batch:
-            now = upsert(spark.read.parquet(f"{out}/b{batch - 1}"), now, "user_id")
-        now.write.mode("overwrite").parquet(f"{out}/b{batch}")
-        last[0] = batch
-
-    last = [0]
+    table = Deltas(spark, new_folder(spark, "state"), "user_id")
     stream = stream_of(spark, path).select("user_id", "value").groupBy("user_id").applyInPandasWithState(keep_figures, "user_id long, events long, highest double", "n long, highest double", "update", GroupStateTimeout.NoTimeout)
-    run_to_end(stream, "update", keep)
-    return spark.read.parquet(f"{out}/b{last[0]}")
+    run_to_end(stream, "update", lambda df, batch: table.write(df.select("user_id", "events", "highest"), batch))
+    return table.read().select("user_id", "events", "highest")
 
 
 def ready_hosts(keys, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Politeness by host: of a batch's jobs the oldest goes at once if the host's time has come, the others wait in the state for its timer."""
-    waiting, next_ms = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-    delay = 1000
+    """Politeness by host: of its jobs the oldest goes at once if the host's time has come, the others wait in the state for its timer. The host's longest delay holds."""
+    waiting, next_ms, delay = (list(state.get[0]), *state.get[1:]) if state.exists else ([], 0, 1000)
     for batch in batches:
-        waiting += batch.sort_values("seq")["seq"].tolist()
-        delay = max(delay, int(batch["delay_ms"].max()))
+        if len(batch):
+            waiting += batch.sort_values("seq")["seq"].tolist()
+            delay = max(delay, int(batch["delay_ms"].max()))
     now = state.getCurrentProcessingTimeMs()
     out = []
     if waiting and now >= next_ms:
         out, waiting, next_ms = [waiting[0]], waiting[1:], now + delay
-    state.update((waiting, next_ms))
+    state.update((waiting, next_ms, delay))
     if waiting:
         state.setTimeoutDuration(max(1, next_ms - now))
     yield pd.DataFrame({"host": [keys[0]] * len(out), "seq": out, "at_ms": [now] * len(out)})
@@ -79,4 +72,44 @@ def ready_hosts(keys, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
 
 def politely(jobs: DataFrame) -> DataFrame:
     """(host, seq, at_ms): the stream of jobs (host, seq, delay_ms) that may run, one for each host and delay."""
-    return jobs.groupBy("host").applyInPandasWithState(ready_hosts, "host string, seq long, at_ms long", "waiting array<long>, next_ms long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return jobs.groupBy("host").applyInPandasWithState(ready_hosts, "host string, seq long, at_ms long", "waiting array<long>, next_ms long, delay_ms long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def first_seen(urls: DataFrame, column: str = "url") -> DataFrame:
+    """Of a stream, each URL once, when it first comes: the set of those seen is the stream's state, exact and kept with its checkpoint."""
+    return urls.dropDuplicates([column])
+
+
+def seen_once(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The values of a column that a stream over a table let through."""
+    out = new_folder(spark, "seen")
+    run_to_end(first_seen(stream_of(spark, path).select(column), column), "append", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/{batch}"))
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+class ProgressFile(StreamingQueryListener):
+    """Publishes how far the session's streams are: batch, rows and time of each query's last progress, in one state file."""
+
+    def __init__(self, spark: SparkSession, path: str, every_s: float = 2.0, clock=time.time):
+        self.file, self.every_s, self.clock, self.state, self._at = StateFile(spark, path), every_s, clock, {}, float("-inf")
+
+    def onQueryStarted(self, event) -> None:
+        self._tell(str(event.id), {"batch": None, "rows": 0}, True)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = self.state.get(str(p.id), {}).get("rows", 0) + int(p.numInputRows or 0)
+        self._tell(str(p.id), {"batch": p.batchId, "rows": rows}, False)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell(str(event.id), self.state.get(str(event.id), {}) | {"ended": True}, True)
+
+    def _tell(self, query: str, what: dict, at_once: bool) -> None:
+        now = self.clock()
+        self.state[query] = what | {"updated_at": int(now)}
+        if at_once or now - self._at >= self.every_s:
+            self._at = now
+            self.file.write({"queries": self.state, "updated_at": int(now)})

@@ -92,4 +92,4 @@ def test_snippet():
 
 
 def test_safe_snippet():
-    assert fetching.safe_snippet("a &lt;i&gt; <b>x</b> <script>") == "a &lt;i&gt; <b>x</b> &lt;script&gt;"
+    assert fetching.safe_text("a &lt;i&gt; <b>x</b> <script>") == "a &lt;i&gt; <b>x</b> &lt;script&gt;"
