@@ -73,6 +73,16 @@ def template(name: str, text: str) -> _Template | None:
     return _Template(name, size, np.unique(all_of_it), *window_of(len(all_of_it)))
 
 
+def known_lengths(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> set[int]:
+    """The numbers of shingles, repeats included, of all templates."""
+    out = set()
+    for wording in (w for texts in templates.values() for w in texts):
+        data, offsets = utf8(pa.array([wording]))
+        n = len(words(LOWER[data], offsets, PARTING)[0])
+        out |= {n - min(SHINGLE, n) + 1} if n else set()
+    return out
+
+
 class Signer:
     """MinHash values over windows of several sizes at once."""
 
@@ -84,31 +94,42 @@ class Signer:
     def of_set(self, shingles: np.ndarray) -> np.ndarray:
         return np.array([(shingles * t + p).min() for t, p in zip(self.times, self.plus)], np.uint64)
 
-    def of_windows(self, hashed: np.ndarray, real: np.ndarray, ends: np.ndarray, sizes: dict[int, np.ndarray]):
+    def of_windows(self, hashed: np.ndarray, real: np.ndarray, ends: np.ndarray, sizes: dict[int, np.ndarray | slice]):
         """For each function, the minima over the windows of each size that begin at given places; a text's end cuts windows off."""
+        n, longest = len(hashed), max(sizes)
+        place, none = np.arange(n), ~real
+        # Whether the place some steps on belongs to the same text.
+        inside = lambda by: place[by:] < ends[: max(0, n - by)]
+        doubled, halves, length = [], {}, 1
+        while length <= longest:
+            doubled.append((length, inside(length)))
+            if length > 1 and length * 3 // 2 in sizes:
+                # Two stretches of ``length`` make up the window.
+                halves[length] = inside(length // 2)
+            length *= 2
         for t, p in zip(self.times, self.plus):
-            values = np.where(real, hashed * t + p, U64(2**64 - 1))
-            out, length, level = {}, 1, values
-            while True:
-                for size in (length, length * 3 // 2):
-                    if size in sizes and (size == length or length > 1):
-                        at = sizes[size]
-                        # Two stretches of ``length`` make up the window; each is cut at the text's end by taking its last place there.
-                        least = level[at]
-                        if size > length:
-                            second = np.minimum(at + size - length, len(level) - 1)
-                            least = np.minimum(least, np.where(at + size - length < ends[at], level[second], least))
-                        out[size] = least
-                if length >= max(sizes):
+            level = hashed * t
+            level += p
+            level[none] = U64(2**64 - 1)
+            out = {}
+            for length, same in doubled:
+                if length in sizes:
+                    out[length] = level[sizes[length]].copy()
+                if length in halves:
+                    half, size = length // 2, length * 3 // 2
+                    whole = level.copy()
+                    np.minimum(level[: len(halves[length])], level[half:], out=whole[: len(halves[length])], where=halves[length])
+                    out[size] = whole[sizes[size]]
+                if 2 * length > longest:
                     break
-                grown, n = level.copy(), max(0, len(level) - length)
-                grown[:n] = np.where(np.arange(length, length + n) < ends[:n], np.minimum(level[:n], level[length : length + n]), level[:n])
-                level, length = grown, 2 * length
+                grown = level.copy()
+                np.minimum(level[: len(same)], level[length:], out=grown[: len(same)], where=same)
+                level = grown
             yield out
 
 
 def _key(value: np.ndarray, band: int) -> np.ndarray:
-    return mix(value ^ U64((band + 1) * GOLD % 2**64))
+    return (value ^ U64((band + 1) * 0xD6E8FEB86659FD93 % 2**64)) * U64(GOLD)
 
 
 @dataclass
@@ -122,7 +143,8 @@ class Table:
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``keys``, template) of each key that a template has too."""
-        maybe = np.flatnonzero(self.known[keys >> U64(48)])
+        # The first 16 bits of each key are every fourth of its pieces.
+        maybe = np.flatnonzero(self.known.take(keys.astype("<u8", copy=False).view("<u2")[3::4]))
         lo, hi = (np.searchsorted(self.keys, keys[maybe], side) for side in ("left", "right"))
         count = hi - lo
         return np.repeat(maybe, count), self.owner[np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
@@ -175,10 +197,11 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str
         stop = np.repeat(bounds[1:] - np.minimum(size - 1, counts), counts)
         real = np.arange(len(hashed)) < stop
         inner = np.arange(len(hashed)) - np.repeat(bounds[:-1], counts)
-        starts = {window: np.flatnonzero((inner % table.step == 0) & real) for window, table in own.items()}
+        starts = {window: np.flatnonzero((inner % table.step == 0) & real) if table.step > 1 else np.arange(len(hashed)) for window, table in own.items()}
+        places = {window: at if own[window].step > 1 else slice(None) for window, at in starts.items()}
         found: dict[int, list[np.ndarray]] = {}
         partial = {window: np.zeros(len(at), np.uint64) for window, at in starts.items()}
-        for i, least in enumerate(signer.of_windows(hashed, real, ends, starts)):
+        for i, least in enumerate(signer.of_windows(hashed, real, ends, places)):
             for window, values in least.items():
                 partial[window] = partial[window] * U64(GOLD) + values if rows > 1 else values
                 if i % rows == rows - 1:
@@ -186,7 +209,8 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str
                     partial[window] = np.zeros(len(starts[window]), np.uint64) if rows > 1 else values
                     for t in np.unique(which):
                         found.setdefault(int(t), []).append(starts[window][at[which == t]])
-        return {t: np.unique(np.concatenate(x)) for t, x in found.items()}
+        # Where no shingle begins, the largest value stands; it is nobody's minimum.
+        return {t: at[real[at]] for t, x in found.items() for at in [np.unique(np.concatenate(x))]}
 
     def verified(hashed: np.ndarray, bounds: np.ndarray, t: _Template, starts: np.ndarray):
         """(start, end, containment) of the windows that hold enough of a template, ascending."""
