@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from seekspark.llm import quality
 from seekspark.llm.chat import END, TEXT, TURN
+from seekspark.llm.license_texts import TEMPLATES
+from seekspark.llm.licenses import known_lengths, window_of
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -67,10 +69,49 @@ SUBSTRINGS = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM docum
     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN x USING (doc_id, p) GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
+_WORDINGS = ", ".join(f"({i}, '{name}', '" + wording.replace("'", "''") + "')" for i, (name, wording) in enumerate((n, w) for n, ws in TEMPLATES.items() for w in ws))
+_WINDOW = "(SELECT unnest([{}]) AS v)".format(", ".join(f"{{'n': {n}, 'size': {size}, 'step': {step}}}" for n in sorted(known_lengths()) for size, step in [window_of(n)]))
+#: Exact containment in every window that may hold a wording, without any retrieval.
+LICENSES = f"""WITH t AS MATERIALIZED (SELECT id, name, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT id, name, {_ALNUM} AS w FROM (VALUES {_WORDINGS}) AS v(id, name, text))),
+    g AS MATERIALIZED (SELECT DISTINCT id, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM t)),
+    z AS MATERIALIZED (SELECT t.id, t.name, t.k, v.size, v.step, (SELECT count(*) FROM g WHERE g.id = t.id) AS want FROM t JOIN {_WINDOW} ON v.n = t.n - t.k + 1),
+    d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents),
+    o AS MATERIALIZED (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t))),
+    h AS MATERIALIZED (SELECT o.doc_id, o.pos, o.s, z.* FROM o JOIN g USING (k, s) JOIN z ON z.id = g.id AND z.k = g.k),
+    p AS (SELECT doc_id, id, name, size, k, a, count(DISTINCT s) / any_value(want) AS share FROM (SELECT *, unnest(range(greatest(0, pos - size + 1 + (step - (pos - size + 1) % step) % step), pos + 1, step)) AS a FROM h WHERE pos >= size UNION ALL SELECT *, unnest(range(0, pos + 1, step)) AS a FROM h WHERE pos < size) GROUP BY ALL),
+    m AS (SELECT p.doc_id, name, a, least(a + size + k - 1, len(w)) AS b, share FROM p JOIN d USING (doc_id) WHERE share >= 0.8),
+    r AS (SELECT *, coalesce(a >= max(b) OVER (PARTITION BY doc_id, name ORDER BY a, b, share ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM m),
+    f AS (SELECT doc_id, count(*) FILTER (opens)::BIGINT AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(share), 6) AS containment FROM r GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(containment, 0)::DOUBLE AS containment FROM d LEFT JOIN f USING (doc_id)"""
+
+_BUCKETS, _BUDGET = 16, 65536
+
+
+def _packing() -> str:
+    """The dynamic programme layer by layer, every cut tried; then the cuts read backwards, and rows numbered in their buckets."""
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, len({_WORDS})::BIGINT AS n_tokens FROM documents)",
+        "h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n_tokens) - 1 AS j, n_tokens AS len, sum(n) OVER (ORDER BY n_tokens) AS r, sum(n * n_tokens) OVER (ORDER BY n_tokens) AS t FROM (SELECT n_tokens, count(*) AS n FROM d GROUP BY 1))",
+        "l0 AS MATERIALIZED (SELECT j, len, r, t, len * r - t AS best, -1::BIGINT AS cut FROM h)",
+    ]
+    for k in range(1, _BUCKETS):
+        parts.append(f"""c{k} AS (SELECT b.j, min(a.best + b.len * (b.r - a.r) - (b.t - a.t)) AS cost, arg_min(a.j, (a.best + b.len * (b.r - a.r) - (b.t - a.t), a.j)) AS cut FROM l{k - 1} a JOIN l{k - 1} b ON a.j < b.j GROUP BY b.j),
+            l{k} AS MATERIALIZED (SELECT b.j, len, r, t, CASE WHEN cost < best THEN cost ELSE best END AS best, CASE WHEN cost < best THEN c.cut ELSE -1 END AS cut FROM l{k - 1} b LEFT JOIN c{k} c USING (j))""")
+    # Only as many layers as there are lengths.
+    parts.append("n AS (SELECT max(j) AS j FROM h), e{0} AS (SELECT j, true AS real FROM n)".format(_BUCKETS))
+    for k in range(_BUCKETS - 1, 0, -1):
+        parts.append(f"e{k} AS (SELECT CASE WHEN c.cut >= 0 AND {k} <= n.j THEN c.cut ELSE e.j END AS j, c.cut >= 0 AND {k} <= n.j AS real FROM e{k + 1} e JOIN l{k} c USING (j), n)")
+    parts.append("x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY len) - 1 AS bucket, len AS bucket_len, coalesce(lag(len) OVER (ORDER BY len), -1) AS above FROM (" + " UNION ".join(f"SELECT len FROM e{k} JOIN h USING (j) WHERE real" for k in range(1, _BUCKETS + 1)) + "))")
+    parts.append("p AS (SELECT d.*, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || n_tokens), doc_id NULLS FIRST, n_tokens) - 1 AS at_, greatest(1, {0} // greatest(bucket_len, 1)) AS room FROM d JOIN x ON n_tokens > above AND n_tokens <= bucket_len)".format(_BUDGET))
+    return "WITH " + ", ".join(parts) + " SELECT doc_id, n_tokens, bucket::BIGINT AS bucket, bucket_len::BIGINT AS bucket_len, (at_ // room)::BIGINT AS batch, (at_ % room)::BIGINT AS slot, (bucket_len - n_tokens)::BIGINT AS padding FROM p"
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op2_suffix_array_dedup": SUFFIXES,
     "op3_chat_formatting": CHAT,
+    "op5_packing": _packing(),
     "op7_benchmark_decontamination": DECONTAMINATION,
+    "op9_license_scans": LICENSES,
     "op10_substring_dedup": SUBSTRINGS,
 }

@@ -70,8 +70,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     ``bucket_len`` tokens are given to each row of a bucket; a batch holds as many rows as ``budget`` has room for, one at least, and
     all batches of a bucket but its last are full.
 
-    Rows stand in a bucket by a hash of id and length, then id, then length: equal rows are interchangeable, repeated rows stay
-    repeated. A null id is an id. Without rows there are no batches. Other columns are not read.
+    Rows stand in a bucket by the MD5 digest of id and length, then by these: equal rows are interchangeable, repeated rows stay
+    repeated, and places don't depend on the number of partitions. A null id is an id. Without rows there are no batches. Other columns are not read.
     """
     spark = docs.sparkSession
     length = F.coalesce(F.expr(tokens or WORDS.format(text=f"`{text_col}`")).cast("long"), F.lit(0))
@@ -85,11 +85,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
         bucket = bucket + (F.col("n_tokens") > end).cast("int")
     room = F.element_at(F.array(*map(F.lit, ends)), F.col("bucket") + 1)
     parts = 4 * partitions(spark)
-    placed = counted.withColumn("bucket", bucket).withColumn("bucket_len", room.cast("long")).withColumn("__part", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(parts)))
-    # A bucket may hold most rows, so they are numbered in parts, and parts by the sizes of those before them.
+    placed = counted.withColumn("bucket", bucket).withColumn("bucket_len", room.cast("long")).withColumn("__hash", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "n_tokens")))
+    # A bucket may hold most rows, so they are numbered in parts, ranges of the digest, and parts by the sizes of those before them.
+    placed = placed.withColumn("__part", F.floor(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") * parts / 2**32))
     sizes = placed.groupBy("bucket", "__part").agg(F.count("*").alias("__n"))
     before = sizes.select("bucket", "__part", (F.sum("__n").over(Window.partitionBy("bucket").orderBy("__part")) - F.col("__n")).alias("__before"))
-    numbered = placed.withColumn("__row", F.row_number().over(Window.partitionBy("bucket", "__part").orderBy("id", "n_tokens"))).join(before, ["bucket", "__part"])
+    numbered = placed.withColumn("__row", F.row_number().over(Window.partitionBy("bucket", "__part").orderBy("__hash", "id", "n_tokens"))).join(before, ["bucket", "__part"])
     at = F.col("__before") + F.col("__row") - 1
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
-    return numbered.select("id", "n_tokens", "bucket", "bucket_len", F.floor(at / capacity).cast("long").alias("batch"), F.pmod(at, capacity).cast("long").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *carry)
+    return numbered.select("id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_len", F.floor(at / capacity).cast("long").alias("batch"), F.pmod(at, capacity).cast("long").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *carry)
