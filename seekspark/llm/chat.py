@@ -65,7 +65,7 @@ def trained_text(formatted: Column, start: Column, end: Column) -> Column:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns, loss_text, formatted_chars), each taken from the formatted text and mask of :func:`expand` alone."""
+    """(conv_id, n_turns, turns, loss_text, formatted_chars), each taken from the formatted text and mask of :func:`expand` alone. Texts and roles that were null come back empty; examples of a null id belong together; no examples, no rows."""
     text = F.struct("example", trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("text"))
     per = examples.groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("whole"),

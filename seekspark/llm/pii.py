@@ -152,7 +152,7 @@ def _drawn(attempt: int) -> str:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(type, canon, surrogate) for the distinct rows of ``entities`` (type, canon), no surrogate given twice in a type or equal to an original of it."""
+    """(type, canon, surrogate) for the distinct rows of ``entities`` (type, canon), no surrogate given twice in a type or equal to an original of it. A null or empty canon has none; no entities, no rows."""
     todo = originals = durable(entities.filter("canon IS NOT NULL AND canon <> ''").distinct())
     settled = None
     for attempt in range(ROUNDS):

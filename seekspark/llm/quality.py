@@ -64,7 +64,9 @@ def cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "good", r
     With probability 1 - ``error``, over all strata, rules and cutoffs together, no stratum loses more than the share ``risk`` of
     its good rows: each rule has an equal part of the risk, and a cutoff counts only if the exact tail of the binomial with
     that share, at the number of good rows it rejects, is at most error / tests. Of those, the cutoff with the most bad rows
-    rejected, less ``price`` for each good one, is taken, the mildest if several tie; a rule without gain is left out.
+    rejected, less ``price`` for each good one, is taken, the mildest if several tie; a rule without gain is left out. Rows that fail
+    the base rules or have no label aren't counted, repeated ones are; a null stratum joins none, so give it a name. An empty table
+    certifies nothing.
     """
     share = risk / len(RULES)
     usable = labelled.filter(f"NOT base_failed AND {good} IS NOT NULL")
