@@ -176,7 +176,22 @@ def q_rank(spark, sf_dir):
     return kept.agg(F.count("*").alias("kept")).withColumn("suppressed", F.lit(suppressed).cast("long"))
 
 
-@REGISTRY.query(None)
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+#: The stretch with most different terms, moved to the middle, ends moved to white space, escaped, terms marked.
+_SNIPPETS = f"""WITH h AS MATERIALIZED (SELECT doc_id, text FROM (SELECT doc_id FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20) JOIN documents USING (doc_id)),
+    p AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS w FROM h)),
+    q AS MATERIALIZED (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, lower(w) IN ('the', 'and') AS hit FROM p),
+    s AS MATERIALIZED (SELECT doc_id, lower(w) AS t, a, a + length(w) AS b FROM q WHERE hit),
+    v AS (SELECT x.doc_id, x.a, count(DISTINCT y.t) AS weight, max(y.b) AS last FROM s x JOIN s y ON x.doc_id = y.doc_id AND y.a >= x.a AND y.b <= x.a + 240 GROUP BY ALL),
+    c AS (SELECT doc_id, text, length(text) AS n, first.last AS last, greatest(0, least(first.a - (240 - (first.last - first.a)) // 2, length(text) - 240)) AS a0 FROM (SELECT doc_id, arg_min(struct_pack(a := a, last := last), (-weight, a)) AS first FROM v GROUP BY doc_id) JOIN h USING (doc_id)),
+    d AS (SELECT *, CASE WHEN a0 > 0 AND NOT regexp_matches(substr(text, a0, 1), '\\s') THEN a0 + length(regexp_extract(substr(text, a0 + 1), '^[^\\s]*\\s')) ELSE a0 END AS a1 FROM c),
+    e AS (SELECT *, least(n, a1 + 240) AS b0, substr(text, a1 + 2, least(n, a1 + 240) - a1) AS mid FROM d),
+    f AS (SELECT *, CASE WHEN b0 < n AND NOT regexp_matches(substr(text, b0 + 1, 1), '\\s') THEN greatest(last, CASE WHEN regexp_matches(mid, '\\s') THEN a1 + 1 + length(regexp_extract(mid, '(?s)^(.*)\\s', 1)) ELSE b0 END) ELSE b0 END AS b1 FROM e),
+    g AS (SELECT doc_id, i, hit AND a >= a1 AND a + length(w) <= b1 AS marked, substr(w, greatest(a1 - a, 0) + 1, least(b1, a + length(w)) - greatest(a1, a)) AS w FROM q JOIN f USING (doc_id) WHERE a + length(w) > a1 AND a < b1)
+    SELECT doc_id, trim(string_agg(CASE WHEN marked THEN '<b>' || {_ESCAPED.format('w')} || '</b>' ELSE {_ESCAPED.format('w')} END, '' ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS snippet FROM g GROUP BY doc_id"""
+
+
+@REGISTRY.query(_SNIPPETS)
 def q_snippet(spark, sf_dir):
     hits = search.top(search.scored(*index_of(spark, sf_dir), parse("the and"), BODY), 20)
     return F.broadcast(hits).join(corpus(spark, sf_dir), F.col("id") == F.col("doc_id")).select("doc_id", snippet(F.col("body"), {"the": 1.0, "and": 1.0}).alias("snippet"))  # 20 rows
