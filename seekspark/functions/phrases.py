@@ -45,6 +45,26 @@ def format_count(value: Column) -> Column:
     return F.translate(F.format_number(F.coalesce(value.try_cast("long"), F.lit(0).cast("long")), 0), ",", THIN)
 
 
+BOUND = "\u00a0"
+
+
+def format_bytes(value: Column) -> Column:
+    """In the largest unit up to TB that leaves 1 or more; one decimal under 10."""
+    out = F.concat(value.cast("long").cast("string"), F.lit(BOUND + "B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        size = value / float(1024**k)
+        out = F.when(size >= 1, F.concat(F.when(size < 10, F.format_string("%.1f", size)).otherwise(F.format_string("%.0f", size)), F.lit(BOUND + unit))).otherwise(out)
+    return F.when(value.isNull(), "—").otherwise(out)
+
+
+def format_duration(seconds: Column) -> Column:
+    """Seconds, minutes and seconds, hours and minutes, or days."""
+    part = lambda n, unit: F.concat(_whole(n), F.lit(BOUND + unit))
+    minutes = F.concat(part(seconds / 60, "min "), F.lpad(_whole(seconds % 60), 2, "0"), F.lit(BOUND + "s"))
+    hours = F.concat(part(seconds / 3600, "h "), part(seconds % 3600 / 60, "min"))
+    return F.when(seconds.isNull(), "—").when(seconds < 60, part(seconds, "s")).when(seconds < 3600, minutes).when(seconds < 86400, hours).otherwise(part(seconds / 86400, "d"))
+
+
 def _rate(per_minute: Column) -> Column:
     return F.translate(F.format_number(F.bround(per_minute, 0), 0), ",", " ")
 

@@ -368,9 +368,11 @@ class SearchIndex:
             self._cache.move_to_end(key)
             rows, total, count, relaxed = self._cache[key]
             return Outcome(self.spark, rows, total, count, (time.monotonic() - began) * 1e3, True, relaxed)
-        wanted = sorted({t for leaf in all_leaves(parse(query)) for t in leaf.terms})
-        _, posted, fields = self.tables(wanted)
-        found = search.best(posted, fields, query, limit, offset) if wanted else search.Best([], 0, False)
+        asked = all_leaves(parse(query))
+        wanted = sorted({t for leaf in asked for t in leaf.terms})
+        # Without a range only the buckets of the query's own terms are read.
+        _, posted, fields = self.tables(None if any(leaf.bounds for leaf in asked) else wanted)
+        found = search.best(posted, fields, query, limit, offset) if asked else search.Best([], 0, False)
         place = {r["id"]: (i, r["score"]) for i, r in enumerate(found.rows, offset + 1)}
         told = self._stored(list(place)).select("url", "title", snippet(F.col("body"), {t: 1.0 for t in wanted}, self.config.snippet_chars).alias("snippet"), "fetched_at", "authority", "host_authority").collect() if place else []
         rows = sorted((place[r["url"]][0], r["url"], r["title"], r["snippet"], r["fetched_at"], place[r["url"]][1], r["authority"], r["host_authority"]) for r in told)

@@ -66,9 +66,25 @@ def _earlier(n: int):
     return lambda p: p - n
 
 
+def _asks(leaf: Leaf) -> Column:
+    """Whether a posting's term is one that a leaf reads."""
+    if not leaf.bounds:
+        return F.col("term").isin(*leaf.terms)
+    low, high, with_low, with_high = leaf.bounds
+    term, out = F.col("term"), F.lit(True)
+    if low is not None:
+        out = out & (term >= low if with_low else term > low)
+    if high is not None:
+        out = out & (term <= high if with_high else term < high)
+    return out
+
+
 def _phrase_hits(posted: DataFrame, leaf: Leaf, fields: tuple[str, ...]) -> DataFrame:
     """(id, field, tf, dl) of a leaf: its terms in a row."""
     inside = posted.filter(F.col("field").isin(*([leaf.field] if leaf.field else fields)))
+    if leaf.among or leaf.bounds:
+        # A document counts once, whatever it has of these terms.
+        return inside.filter(_asks(leaf)).groupBy("id", "field").agg(F.lit(1).alias("tf"), F.first("dl").alias("dl"))
     if len(leaf.terms) == 1:
         return inside.filter(F.col("term") == leaf.terms[0]).select("id", "field", "tf", "dl")
     found = None
@@ -90,13 +106,17 @@ def scored(posted: DataFrame, stats: DataFrame, tree, fields: tuple[str, ...] =
     if not known:
         return posted.select("id", F.lit(0.0).alias("score")).limit(0)
     wanted = sorted({t for leaf in known for t in leaf.terms})
-    part = posted.filter(F.col("term").isin(*wanted))
+    read = F.col("term").isin(*wanted) if wanted else F.lit(False)
+    for leaf in known:
+        read = read | _asks(leaf) if leaf.bounds else read
+    part = posted.filter(read)
     hits = None
     for i, leaf in enumerate(known):
-        own = _phrase_hits(part, leaf, fields).withColumn("leaf", F.lit(i)).withColumn("adds", F.lit(leaf in adds))
+        own = _phrase_hits(part, leaf, fields).withColumn("leaf", F.lit(i)).withColumn("adds", F.lit(leaf.boost if leaf in adds else 0.0)).withColumn("flat", F.lit(bool(leaf.among or leaf.bounds)))
         hits = own if hits is None else hits.unionByName(own)
     df = hits.groupBy("leaf", "field").agg(F.count("*").alias("df"))
-    value = F.when(F.col("adds"), bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df"))).otherwise(0.0)
+    # Sets and ranges tell nothing by frequency: each counts 1.
+    value = F.col("adds") * F.when(F.col("flat"), 1.0).otherwise(bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df")))
     weighed = hits.join(F.broadcast(df.join(stats, "field")), ["leaf", "field"])
     per = weighed.groupBy("id").agg(F.sum(value).alias("score"), *(F.max(F.col("leaf") == i).alias(f"l{i}") for i in range(len(known))))
     place = {leaf: F.col(f"l{i}") for i, leaf in enumerate(known)}

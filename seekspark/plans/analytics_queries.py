@@ -107,3 +107,37 @@ def q_stream_state(spark, sf_dir):
     from seekspark.streaming import growth
 
     return growth.per_key(spark, f"{sf_dir}/events.parquet")
+
+
+@REGISTRY.query('SELECT (d * 86400)::BIGINT AS "at", n::BIGINT AS documents FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS d, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20)')
+def q_timeline(spark, sf_dir):
+    """The events of each day recorded in a timeline file, each day in two goes, the second of them twice; the last twenty days are kept."""
+    from seekspark.sources.tables import Timeline
+    from seekspark.streaming.folders import new_folder
+
+    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)
+    days = table(spark, sf_dir, "events").groupBy(day.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row a day
+    line = Timeline(spark, f"{new_folder(spark, 'timeline')}/history.json", retained=20, bucket_s=86400)
+    for r in days:
+        line.record(r["d"] * 86400 + 5, 1, 0, f"{r['d']} a")
+        for _ in range(2):
+            line.record(r["d"] * 86400 + 9, r["n"] - 1, 0, f"{r['d']} b")
+    return line.buckets()
+
+
+@REGISTRY.query("SELECT DISTINCT user_id FROM events")
+def q_stream_seen(spark, sf_dir):
+    """Each user once, of a stream of events."""
+    from seekspark.streaming import growth
+
+    return growth.seen_once(spark, f"{sf_dir}/events.parquet", "user_id")
+
+
+@REGISTRY.query("SELECT event_id, CASE WHEN b < 1024 THEN b || chr(160) || 'B' WHEN b < 10240 THEN printf('%.1f', b / 1024) || chr(160) || 'KB' WHEN b < 1048576 THEN printf('%.0f', b / 1024) || chr(160) || 'KB' ELSE printf('%.1f', b / 1048576) || chr(160) || 'MB' END AS size, CASE WHEN s < 60 THEN s || chr(160) || 's' WHEN s < 3600 THEN s // 60 || chr(160) || 'min ' || lpad((s % 60)::VARCHAR, 2, '0') || chr(160) || 's' WHEN s < 86400 THEN s // 3600 || chr(160) || 'h ' || s % 3600 // 60 || chr(160) || 'min' ELSE s // 86400 || chr(160) || 'd' END AS lasted FROM (SELECT event_id, (event_id * 104729 % 5000000) // 128 * 128 + 1 AS b, event_id * 7919 % 300000 AS s FROM events) WHERE b % 512 > 0")
+def q_sizes(spark, sf_dir):
+    """Bytes and durations in words."""
+    from seekspark.functions import phrases
+
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.floor(i * 104729 % 5000000 / 128) * 128 + 1).alias("b"), (i * 7919 % 300000).alias("s"))
+    return rows.select("event_id", phrases.format_bytes(F.col("b")).alias("size"), phrases.format_duration(F.col("s")).alias("lasted"))

@@ -342,3 +342,54 @@ def q_crawl_levels(spark, sf_dir):
     links = page_edges(pages).select(urls.canonical_url(F.col("src")).alias("url"), urls.canonical_url(F.col("dst")).alias("dst")).groupBy("url").agg(F.collect_list("dst").alias("links"))
     web = pages.select(canonical.alias("url")).join(links, "url", "left")
     return frontier.crawl(web, pages.filter(F.col("url").rlike("://(www|blog)")).select("url"))
+
+
+@REGISTRY.query("SELECT event_id, user_id, event_type, (event_id // 1000)::BIGINT AS segment FROM events")
+def q_spool(spark, sf_dir):
+    """Events sealed as segments of a thousand and read back, each with its segment's number."""
+    from seekspark.sources.tables import read_spool, write_spool
+    from seekspark.streaming.folders import new_folder
+
+    folder, events = new_folder(spark, "spool"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    write_spool(events.withColumn("part", F.floor(F.col("event_id") / 1000)), f"{folder}/sealed", 500)
+    return read_spool(spark, f"{folder}/sealed").filter("segment IS NOT NULL").select("event_id", "user_id", "event_type", F.col("part").alias("segment"))
+
+
+@REGISTRY.query(f"SELECT row_number() OVER (ORDER BY page_id) - 3 + CASE WHEN page_id < 0 THEN 0 ELSE 0 END AS n, url FROM (SELECT -2 AS page_id, 'https://given.example/' AS url UNION ALL SELECT -1, 'https://given.example/' UNION ALL SELECT page_id, url FROM pages)")
+def q_seed_file(spark, sf_dir):
+    """A seed list written with notes, read behind two seeds given by hand; repeated ones stay."""
+    from pyspark.sql.window import Window
+
+    from seekspark.sources.tables import read_seeds, write_seeds
+    from seekspark.streaming.folders import new_folder
+
+    path = f"{new_folder(spark, 'seeds')}/list"
+    write_seeds(table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("place")), path, ("seeds", "of all pages"))
+    seeds = read_seeds(spark, path, ["https://given.example/"] * 2)
+    return seeds.select((F.row_number().over(Window.orderBy("seq")) - 3).alias("n"), "url")  # a list that people read
+
+
+@REGISTRY.query("SELECT max(event_id) + 1 AS next FROM events WHERE event_id % 3 > 0")
+def q_next_sequence(spark, sf_dir):
+    from seekspark.sources.tables import next_sequence
+
+    names = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("seg-"), F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit(".pdoc"))).otherwise("notes.txt").alias("name"))
+    return next_sequence(names)
+
+
+@REGISTRY.query(f"SELECT count(DISTINCT url)::BIGINT AS seen, count(DISTINCT url) FILTER (starts_with(url, 'http://'))::BIGINT AS plain FROM {_SEEN}")
+def q_seen_set(spark, sf_dir):
+    """The set of all URLs, kept and loaded again."""
+    from seekspark.sources.tables import load_seen, save_seen
+    from seekspark.streaming.folders import new_folder
+
+    path, pages = new_folder(spark, "seen"), table(spark, sf_dir, "pages").select(urls.canonical_url(F.col("url")).alias("url"))
+    save_seen(pages.unionAll(pages), path)
+    return load_seen(spark, path).agg(F.count("*").alias("seen"), F.count_if(F.col("url").startswith("http://")).alias("plain"))
+
+
+@REGISTRY.query("SELECT page_id, '<b>' || replace(replace(t, '&', '&amp;'), '\"', '&quot;') || '</b> &lt;i&gt; &amp;' AS snippet FROM (SELECT page_id, replace(replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1), '&quot;', '\"'), '&amp;', '&') AS t FROM pages)")
+def q_safe_snippet(spark, sf_dir):
+    """Titles, escaped or not, between the marks that stay, and an element that doesn't."""
+    marked = F.concat(F.lit("<b>"), html.raw_title(F.col("html")), F.lit("</b> <i> &"))
+    return table(spark, sf_dir, "pages").select("page_id", fetching.safe_snippet(marked).alias("snippet"))

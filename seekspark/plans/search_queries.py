@@ -177,21 +177,27 @@ def q_rank(spark, sf_dir):
 
 
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
-#: The stretch with most different terms, moved to the middle, ends moved to white space, escaped, terms marked.
-_SNIPPETS = f"""WITH h AS MATERIALIZED (SELECT doc_id, text FROM (SELECT doc_id FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20) JOIN documents USING (doc_id)),
-    p AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS w FROM h)),
-    q AS MATERIALIZED (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, lower(w) IN ('the', 'and') AS hit FROM p),
-    s AS MATERIALIZED (SELECT doc_id, lower(w) AS t, a, a + length(w) AS b FROM q WHERE hit),
-    v AS (SELECT x.doc_id, x.a, count(DISTINCT y.t) AS weight, max(y.b) AS last FROM s x JOIN s y ON x.doc_id = y.doc_id AND y.a >= x.a AND y.b <= x.a + 240 GROUP BY ALL),
-    c AS (SELECT doc_id, text, length(text) AS n, first.last AS last, greatest(0, least(first.a - (240 - (first.last - first.a)) // 2, length(text) - 240)) AS a0 FROM (SELECT doc_id, arg_min(struct_pack(a := a, last := last), (-weight, a)) AS first FROM v GROUP BY doc_id) JOIN h USING (doc_id)),
+
+
+def _snippets(hits: str) -> str:
+    """SQL of (k, snippet) for a query of (k, text): the stretch with most different terms, moved to the middle, ends moved to white space, escaped, terms marked."""
+    return f"""WITH hits AS MATERIALIZED ({hits}),
+    p AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT k, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS w FROM hits)),
+    q AS MATERIALIZED (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, lower(w) IN ('the', 'and') AS hit FROM p),
+    s AS MATERIALIZED (SELECT k, lower(w) AS t, a, a + length(w) AS b FROM q WHERE hit),
+    v AS (SELECT x.k, x.a, count(DISTINCT y.t) AS weight, max(y.b) AS last FROM s x JOIN s y ON x.k = y.k AND y.a >= x.a AND y.b <= x.a + 240 GROUP BY ALL),
+    c AS (SELECT k, text, length(text) AS n, first.last AS last, greatest(0, least(first.a - (240 - (first.last - first.a)) // 2, length(text) - 240)) AS a0 FROM (SELECT k, arg_min(struct_pack(a := a, last := last), (-weight, a)) AS first FROM v GROUP BY k) JOIN hits USING (k)),
     d AS (SELECT *, CASE WHEN a0 > 0 AND NOT regexp_matches(substr(text, a0, 1), '\\s') THEN a0 + length(regexp_extract(substr(text, a0 + 1), '^[^\\s]*\\s')) ELSE a0 END AS a1 FROM c),
     e AS (SELECT *, least(n, a1 + 240) AS b0, substr(text, a1 + 2, least(n, a1 + 240) - a1) AS mid FROM d),
     f AS (SELECT *, CASE WHEN b0 < n AND NOT regexp_matches(substr(text, b0 + 1, 1), '\\s') THEN greatest(last, CASE WHEN regexp_matches(mid, '\\s') THEN a1 + 1 + length(regexp_extract(mid, '(?s)^(.*)\\s', 1)) ELSE b0 END) ELSE b0 END AS b1 FROM e),
-    g AS (SELECT doc_id, i, hit AND a >= a1 AND a + length(w) <= b1 AS marked, substr(w, greatest(a1 - a, 0) + 1, least(b1, a + length(w)) - greatest(a1, a)) AS w FROM q JOIN f USING (doc_id) WHERE a + length(w) > a1 AND a < b1)
-    SELECT doc_id, trim(string_agg(CASE WHEN marked THEN '<b>' || {_ESCAPED.format('w')} || '</b>' ELSE {_ESCAPED.format('w')} END, '' ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS snippet FROM g GROUP BY doc_id"""
+    g AS (SELECT k, i, hit AND a >= a1 AND a + length(w) <= b1 AS marked, substr(w, greatest(a1 - a, 0) + 1, least(b1, a + length(w)) - greatest(a1, a)) AS w FROM q JOIN f USING (k) WHERE a + length(w) > a1 AND a < b1)
+    SELECT k, trim(string_agg(CASE WHEN marked THEN '<b>' || {_ESCAPED.format('w')} || '</b>' ELSE {_ESCAPED.format('w')} END, '' ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS snippet FROM g GROUP BY k"""
+
+
+_TWENTY = f"SELECT doc_id AS k, text FROM (SELECT doc_id FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20) JOIN documents USING (doc_id)"
 
 
-@REGISTRY.query(_SNIPPETS)
+@REGISTRY.query(f"SELECT k AS doc_id, snippet FROM ({_snippets(_TWENTY)})")
 def q_snippet(spark, sf_dir):
     hits = search.top(search.scored(*index_of(spark, sf_dir), parse("the and"), BODY), 20)
     return F.broadcast(hits).join(corpus(spark, sf_dir), F.col("id") == F.col("doc_id")).select("doc_id", snippet(F.col("body"), {"the": 1.0, "and": 1.0}).alias("snippet"))  # 20 rows
@@ -203,8 +209,9 @@ _FOUND = f"""(WITH d AS MATERIALIZED (SELECT c.canonical AS url, p.page_id, {TIT
     p AS MATERIALIZED (SELECT page_id, field, t AS term, len(list_filter(words, lambda x: x = t)) AS tf, len(words) AS dl FROM f, (SELECT unnest(['the', 'and']) AS t) WHERE list_contains(words, t)),
     s AS (SELECT page_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN (SELECT field, term, count(*) AS df FROM p GROUP BY ALL) USING (field, term) JOIN n USING (field) GROUP BY page_id HAVING count(DISTINCT term) = 2),
     h AS (SELECT url, title, body, fetched_at, score AS found FROM s JOIN d USING (page_id) ORDER BY score DESC, url LIMIT 150),
-    r AS (SELECT *, found * pow(0.5::DOUBLE, greatest(0, ({NOW} - fetched_at) / 86400) / 30) * {QUALITY} + 2.0 * @match + CASE WHEN {LABEL} IN ('the', 'and') AND len({SEGMENTS}) > 0 THEN 1.2 ELSE 0 END AS score, {RANK_HOST} AS host FROM h),
-    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY host, lower(title), body ORDER BY score DESC, found DESC, url) = 1),
+    sn AS MATERIALIZED ({_snippets('SELECT url AS k, body AS text FROM h')}),
+    r AS (SELECT h.*, snippet, found * pow(0.5::DOUBLE, greatest(0, ({NOW} - fetched_at) / 86400) / 30) * {QUALITY} + 2.0 * @match + CASE WHEN {LABEL} IN ('the', 'and') AND len({SEGMENTS}) > 0 THEN 1.2 ELSE 0 END AS score, {RANK_HOST} AS host FROM h JOIN sn ON url = k),
+    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY host, lower(title), snippet ORDER BY score DESC, found DESC, url) = 1),
     o AS (SELECT *, row_number() OVER (ORDER BY score DESC, found DESC, url) AS place FROM u)
     SELECT place, url, title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS k FROM o) WHERE k <= 2 ORDER BY place LIMIT 10)"""
 _OWN_TITLE = "regexp_extract_all(lower(title), '[a-z0-9]+')"
@@ -214,9 +221,98 @@ _FOUND = _FOUND.replace("@match", f"(CASE WHEN len({_OWN_TITLE}) = 0 THEN 0 ELSE
 @REGISTRY.query(f"SELECT * FROM {_FOUND}")
 def q_search_flagship(spark, sf_dir):
     """Pages read, indexed in memory, searched for two terms, re-ranked: the first page of results."""
+    engine, response = _flagship(spark, sf_dir)
+    return engine.page(response).drop("snippet")
+
+
+def _flagship(spark, sf_dir):
     from seekspark.operators.engine import SearchEngine
 
     pages = table(spark, sf_dir, "pages").select(urls.canonical_url(F.col("url")).alias("url"), html.extract_page("html", "url").alias("p"), fetched_at().alias("fetched_at"))
     docs = pages.select("url", "p.title", F.col("p.text").alias("body"), "fetched_at", F.col("p.links").alias("outlinks"))
     engine = SearchEngine.over(docs)
-    return engine.page(engine.search("the and", limit=10, now=NOW)).drop("snippet")
+    return engine, engine.search("the and", limit=10, now=NOW)
+
+
+_DOCS_BM25 = _bm25(["the", "and"], "= 2")
+
+
+def _indexed(spark, sf_dir):
+    """An index on disk of all documents under URLs, in three commits: all with another text at first, then two halves over it."""
+    from seekspark.operators.engine import IndexWriter
+    from seekspark.streaming.folders import new_folder
+
+    path = new_folder(spark, "index")
+    writer, docs = IndexWriter(spark, path), corpus(spark, sf_dir)
+    as_pages = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"), F.lit("").alias("title"), "body", F.col("doc_id").alias("fetched_at"))
+    for part in (as_pages.withColumn("body", F.lit("the and of old")), as_pages.filter("fetched_at % 2 = 0"), as_pages.filter("fetched_at % 2 = 1")):
+        writer.add_or_update(part)
+        writer.commit()
+    return path
+
+
+@REGISTRY.query(f"SELECT doc_id AS fetched_at, round(score, 6) AS score FROM {_DOCS_BM25} QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 400")
+def q_index_search(spark, sf_dir):
+    """The widest window of hits from an index on disk whose documents were all replaced."""
+    from seekspark.operators.engine import SearchIndex
+
+    hits = SearchIndex.open(spark, _indexed(spark, sf_dir)).search("the and", 400).hits
+    return hits.select("fetched_at", F.round("score", 6).alias("score"))
+
+
+@REGISTRY.query(f"SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, 3::BIGINT AS version, (SELECT count(*) FROM {_DOCS_BM25})::BIGINT AS total_matches, 0::BIGINT AS old_matches, round((SELECT avg(dl) FROM {_LENGTHS}), 6) AS avg_tokens")
+def q_index_stats(spark, sf_dir):
+    """Counts of the same index: what it says of itself, and of words that only the replaced texts had."""
+    from seekspark.operators.engine import SearchIndex
+
+    index = SearchIndex.open(spark, _indexed(spark, sf_dir))
+    stats = index.stats()
+    row = stats["documents"], stats["version"], index.search("the and").total_matches, index.search('"the and of old"').total_matches, round(stats["avg_tokens"]["body"], 6)
+    return spark.createDataFrame([row], "documents long, version long, total_matches long, old_matches long, avg_tokens double")
+
+
+@REGISTRY.query(f"SELECT doc_id AS fetched_at, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM {_DOCS_BM25} ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20")
+def q_plain_page(spark, sf_dir):
+    """The third page with ranking switched off: a slice in the engine's own order."""
+    from seekspark.config import SearchConfig
+    from seekspark.operators.engine import SearchEngine, SearchIndex
+
+    docs = corpus(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("url"), F.lit("").alias("title"), "body", F.col("doc_id").alias("fetched_at"))
+    engine = SearchEngine(SearchIndex.over(docs), SearchConfig(ranking_enabled=False))
+    return engine.search("the and", 10, 20).hits.select("fetched_at", "place")
+
+
+_COUNTED = _FOUND.replace("\n    SELECT place, url, title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS k FROM o) WHERE k <= 2 ORDER BY place LIMIT 10)", """,
+    x AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY place) AS k FROM o),
+    y AS (SELECT max(place) AS last FROM (SELECT place FROM x WHERE k <= 2 ORDER BY place LIMIT 10))
+    SELECT (SELECT count(*) FROM s)::BIGINT AS total_matches, (SELECT count(*) FROM d)::BIGINT AS doc_count, count(*)::BIGINT AS reachable, ((SELECT count(*) FROM h) - count(*))::BIGINT AS suppressed, count(*) FILTER (k > 2 AND place < last)::BIGINT AS capped_on_page, 10::BIGINT AS returned FROM x, y)""")
+
+
+@REGISTRY.query(f"SELECT * FROM {_COUNTED}")
+def q_response_counters(spark, sf_dir):
+    """What the flagship's response says beside its hits."""
+    r = _flagship(spark, sf_dir)[1]
+    return spark.createDataFrame([(r.total_matches, r.doc_count, r.reachable, r.suppressed, r.capped_on_page, r.returned)], "total_matches long, doc_count long, reachable long, suppressed long, capped_on_page long, returned long")
+
+
+@REGISTRY.query("SELECT doc_id FROM documents WHERE list_has_any(" + _TOKENS + ", ['the', 'und']) AND len(list_filter(" + _TOKENS + ", lambda t: t >= 'q' AND t < 's')) > 0 AND NOT list_contains(" + _TOKENS + ", 'is')")
+def q_sets_and_ranges(spark, sf_dir):
+    return _scores(spark, sf_dir, "IN [the und] +[q TO s} -is^2", "and").select("doc_id")
+
+
+@REGISTRY.query("SELECT (100 * (page_id % 5) + page_id % 100)::BIGINT AS skip, (1 + page_id % 100)::BIGINT AS size, least(greatest((skip + size) * 4, skip + size, 150), 400)::BIGINT AS candidates FROM pages GROUP BY ALL")
+def q_candidate_window(spark, sf_dir):
+    """How many hits a page at an offset asks the engine for."""
+    from seekspark.operators.engine import SearchEngine
+
+    engine = SearchEngine(None)
+    pages = table(spark, sf_dir, "pages").select((100 * (F.col("page_id") % 5) + F.col("page_id") % 100).alias("skip"), (1 + F.col("page_id") % 100).alias("size")).distinct().collect()  # five hundred at most
+    return spark.createDataFrame([(r["skip"], r["size"], engine.candidates(r["size"], r["skip"])) for r in pages], "skip long, size long, candidates long")
+
+
+@REGISTRY.query("SELECT 0::BIGINT AS none, false AS relaxed, 1::BIGINT AS of_limit_zero, (SELECT count(*) FROM documents WHERE list_contains(" + _TOKENS + ", 'the'))::BIGINT AS after_relaxing, true AS was_relaxed")
+def q_no_match(spark, sf_dir):
+    """No hit for one unknown word; of two, one of them unknown, those of the other; and a limit of 0 counts as 1."""
+    posted, stats = index_of(spark, sf_dir)
+    nothing, loose = search.best(posted, stats, "qqqzz", 10, 0, BODY), search.best(posted, stats, "the qqqzz", 0, 0, BODY)
+    return spark.createDataFrame([(nothing.total, nothing.relaxed, len(loose.rows), loose.total, loose.relaxed)], "none long, relaxed boolean, of_limit_zero long, after_relaxing long, was_relaxed boolean")

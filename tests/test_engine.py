@@ -27,6 +27,25 @@ def test_parse():
             parse(bad)
 
 
+def test_parse_ranges_sets_and_boosts():
+    assert parse("a^2.5") == Leaf(("a",), boost=2.5) and parse('"a b"^3') == Leaf(("a", "b"), boost=3.0)
+    assert parse("body:[a TO m}") == Leaf((), "body", bounds=("a", "m", True, False)) and parse("{* TO B]") == Leaf((), bounds=(None, "b", False, True))
+    assert parse("title: IN [x Y x]") == Leaf(("x", "y"), "title", among=True)
+    assert parse("(a OR b^2)^3 c") == Node("and", (Node("or", (Leaf(("a",), boost=3.0), Leaf(("b",), boost=6.0))), Leaf(("c",))))
+    assert parse("url: IN [https://a/ https://b/]") == Leaf(("https://a/", "https://b/"), "url", among=True)
+    with pytest.raises(QueryParseError):
+        parse("nofield:[a TO b]")
+
+
+def test_ranges_sets_and_boosts(spark):
+    index = SearchIndex.over(spark.createDataFrame(DOCS, SCHEMA))
+    urls_of = lambda q: sorted(r[1].rsplit("/", 1)[1] for r in index.search(q).rows)
+    assert urls_of("body:[futures TO guards]") == ["async", "python"] and urls_of("body:{futures TO guards}") == [] and urls_of("title:[r TO *]") == ["async", "python", "rust"]
+    assert urls_of("title: IN [rust python] -async") == ["python", "rust"] and urls_of("body: IN [nothing]") == []
+    plain, more = (dict((r[1], r[5]) for r in index.search(q).rows) for q in ("rust OR lock", "rust^2 OR lock"))
+    assert all(abs(more[u] - plain[u] * (2 if "a.example" in u else 1)) < 1e-9 for u in plain) and {r[5] for r in index.search("title: IN [rust]^4").rows} == {4.0}
+
+
 def test_index(spark, tmp_path):
     path = str(tmp_path / "index")
     with pytest.raises(MissingIndex):
