@@ -17,15 +17,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     end and from a node to itself are left out; the latter's node, if it has no other link, is not listed.
     """
     links = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
-    before = None
+    count = links.count()
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = durable(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
-        now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
-        if now == before:
+        new = durable(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
+        # Settled when the table is the same as before.
+        same = new.count() == count and new.join(links, ["u", "v"], "left_anti").isEmpty()
+        links, count = new, new.count()
+        if same:
             break
-        before = now
     return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

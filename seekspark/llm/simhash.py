@@ -15,13 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seekspark.llm._arrow import utf8
 from seekspark.llm._shared import durable
 from seekspark.llm.components import components
 
-#: The blocks' sizes in bits; ``AGREE`` of them are equal if no more than len(BLOCKS) - AGREE bits differ.
-BLOCKS = (9, 9, 9, 9, 9, 9, 10)
+#: Fingerprints under one key, on average, that the number of blocks is chosen for: the pivots' tables discard most of their pairs.
+UNDER_A_KEY = 64
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64)
 #: Rows under one key that one comparison takes on each side; a larger key is split into tiles of about this many.
 TILE = 2048
@@ -58,13 +59,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(each, "id long, fp long, text_hash long")
 
 
-def _keys(most: int):
+def blocks(n: int, most: int) -> list[int]:
+    """Sizes of the blocks of bits for n fingerprints: as few as leave ``UNDER_A_KEY`` of them under a key of all blocks but ``most``.
+
+    Fingerprints that differ in ``most`` bits agree in all blocks but as many, however the bits are cut, so the number changes cost
+    alone: few blocks make few keys of each fingerprint, many make keys that tell more fingerprints apart.
+    """
+    for count in range(most + 1, 2 * most + 9):
+        sizes = [64 // count + (i < 64 % count) for i in range(count)]
+        if n / 2 ** sum(sizes[most:]) <= UNDER_A_KEY:
+            break
+    return sizes
+
+
+def _keys(sizes: list[int], most: int):
     """Columns that hold the chosen blocks of ``fp``, with the number of the choice in front."""
-    agree, at, masks = len(BLOCKS) - most, 0, []
-    for size in BLOCKS:
+    at, masks = 0, []
+    for size in sizes:
         masks.append(((1 << size) - 1) << at)
         at += size
-    for n, chosen in enumerate(combinations(masks, agree)):
+    for n, chosen in enumerate(combinations(masks, len(sizes) - most)):
         mask = sum(chosen)
         yield F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask).cast("long")).alias("bits"))
 
@@ -113,10 +127,12 @@ class _Forest:
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links between the different fingerprints of the column ``fp`` at ``most`` or fewer bits, as many as keep every component whole.
 
-    A key with more than ``TILE`` rows is split into tiles, and every two tiles of it meet in a group of their own, so no task
+    A null fingerprint links to nothing, repeated ones count once, and an empty table has no links. A key with more than ``TILE`` rows is split into tiles, and every two tiles of it meet in a group of their own, so no task
     holds more than two tiles of a key; each task keeps of its links those that join something.
     """
-    keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*_keys(most))).alias("k")).select("fp", "k.n", "k.bits")
+    distinct = fps.select("fp").filter("fp IS NOT NULL").distinct()
+    sizes = blocks(distinct.count(), most)
+    keyed = distinct.select("fp", F.explode(F.array(*_keys(sizes, most))).alias("k")).select("fp", "k.n", "k.bits")
     tiles = keyed.groupBy("n", "bits").agg(F.count("*").alias("rows")).filter(F.col("rows") > TILE).select("n", "bits", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     split = keyed.join(tiles, ["n", "bits"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
@@ -175,11 +191,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of ``docs`` for each component: that with the least id, then fingerprint, then text hash; columns as they are.
 
     A row without an id is kept only where no row of its component has one. An id that stands in several components, null too,
-    may be kept in each.
+    may be kept in each. Of rows that are equal in id and text one is kept, the least by a hash of all columns. An empty table
+    gives no rows. The texts travel once, to the list of what is kept.
     """
     marked, rooted = _rooted(docs, id_col, text_col, most)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("f")
-    kept = marked.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("f.id").alias("__id"), F.col("f.text_hash").alias("__hash"))
-    own, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    # Equal texts share a component, so id and text hash tell the kept rows, and leave only copies of one row.
-    return docs.join(kept, own.eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi").withColumn("__id", own).withColumn("__hash", text_hash).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    kept = marked.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first)
+    # Equal texts share a component, so id and text hash tell the kept rows, and leave only copies of one row. Plain keys without nulls let both steps use one exchange.
+    keys = ["__none", "__id", "__hash"]
+    kept = kept.select(F.col("f.none").alias("__none"), F.coalesce("f.id", F.lit(0)).alias("__id"), F.col("f.text_hash").alias("__hash"))
+    own = F.col(f"`{id_col}`").cast("long")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(own.isNull().alias("__none"), F.coalesce(own, F.lit(0)).alias("__id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__hash"), row)
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    return rows.join(kept, keys, "left_semi").withColumn("copy", copy).filter("copy = 1").select("row.*")

@@ -47,6 +47,32 @@ def test_cutoffs_hold_the_risk(spark):
     assert quality.judge(few, marks).filter("kept").count() == 60
 
 
+def test_cutoffs_of_two_strata_are_brute_force(spark):
+    """In one stratum symbols tell bad texts, in the other good ones hold as many: each gets its own cutoff, by exact tails over all tests."""
+    rng = random.Random(14)
+    rows = []
+    for stratum, bad_symbols, good_symbols in (("a", 400, 3), ("b", 400, 400)):
+        for i in range(1400):
+            good = i % 4 > 0
+            symbols = int((good_symbols if good else bad_symbols) * rng.uniform(0.9, 1.1))
+            rows.append((stratum, good, 100, 1000, symbols, 0, 0, False))
+    df = spark.createDataFrame(rows, "stratum string, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    share, tests, want = 0.04 / len(quality.RULES), 2 * len(quality.RULES) * len(quality.GRID), {}
+    for stratum in "ab":
+        own = [(r[1], 1000 * r[4] // r[3]) for r in rows if r[0] == stratum]
+        n, best = sum(g for g, _ in own), None
+        for place, cut in enumerate(quality.GRID, 1):
+            k, bad = sum(g and v >= cut for g, v in own), sum(not g and v >= cut for g, v in own)
+            if k > n * share or bad <= 20 * k:
+                continue
+            tail = math.fsum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1))
+            if tail * tests <= 0.05 and (best is None or (bad - 20 * k, place) > best[0]):
+                best = (bad - 20 * k, place), cut
+        if best:
+            want[stratum, "symbols"] = best[1]
+    assert {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(df).collect()} == want and set(want) == {("a", "symbols")}
+
+
 def test_quality_edges(spark, edges, nothing, repeated):
     labels = spark.createDataFrame([(20, 1, 0), (20, 0, 0), (None, 1, 0), (21, None, None)], "doc_id long, quality int, toxic int")
     out = quality.judge(edges, labels)

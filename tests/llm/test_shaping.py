@@ -246,12 +246,29 @@ def test_pipeline(spark, edges, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
     leaked = frame(spark, [(1, "a b c " + bench + " d"), (2, "nothing here")])
     assert [r["doc_id"] for r in c.drop_contaminated(spark, leaked, sf_dir).collect()] == [2]
-    result = c.run(spark, sf_dir)
+    first, result = c.run(spark, sf_dir), c.run(spark, sf_dir)
+    assert first.count() == result.count()
     kept = {r["doc_id"] for r in result.select("doc_id").collect()}
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert 0.5 * documents.count() < len(kept) == result.count() < documents.count()
 
 
+def test_pipeline_stages_on_odd_tables(spark, nothing, repeated, sf_dir):
+    import corpus_pipeline as c
+
+    odd = frame(spark, [(None, "Mr. John Smith wrote to a@b.example"), (None, "Mr. John Smith wrote to a@b.example"), (None, None), (3, None), (3, ""), (3, ""), (4, "w " * 30_000)], __none=1, __hash=2, copy=3, row=4, pieces=5)
+    for name, stage in c.STAGES:
+        assert stage(spark, nothing, sf_dir).count() == 0
+        for docs in (repeated, odd):
+            out = stage(spark, docs, sf_dir)
+            n = out.count()
+            assert name == "packing" or out.columns == list(c.COLUMNS)
+            if name == "simhash_near_dedup":
+                assert n == len({brute.fingerprint(r["text"]) for r in docs.collect()})
+            else:
+                assert n == docs.count()
+
+
 def test_hot_conversation_and_prose(spark):
     rows = [(7, i, "assistant" if i % 2 else "user", prose(random.Random(i), 5)) for i in range(200)]
     out = chat.read_back(chat.expand(talk(spark, rows))).first()
