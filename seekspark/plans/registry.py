@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Registry:
@@ -77,7 +78,7 @@ def query_log(events: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(text: pd.Series) -> pd.Series:
     """Texts as a server may send them; for inputs of queries."""
     return text.map(lambda t: gzip.compress(t.encode(), mtime=0), na_action="ignore")
