@@ -27,7 +27,9 @@ def unseen(links: DataFrame, seen: DataFrame | None) -> DataFrame:
 
 def _judged(links: DataFrame, scope: DataFrame | None, max_depth: int) -> DataFrame:
     """Canonical links that are followed, with their host and whether they leave the scope or lead to an asset."""
-    found = links.filter(F.col("depth") < max_depth).select(urls.canonical_url(F.col("url")).alias("url"), (F.col("depth") + 1).alias("depth"), "seq").filter("url IS NOT NULL")
+    # Behind a generator a long expression is evaluated once; filters that were pushed below it would repeat it many times over.
+    canonical = F.explode(F.array(urls.canonical_url(F.col("url")))).alias("url")
+    found = links.filter(F.col("depth") < max_depth).select(canonical, (F.col("depth") + 1).alias("depth"), "seq").filter("url IS NOT NULL")
     found = found.withColumn("host", urls.crawl_host(F.col("url"))).withColumn("asset", ~urls.is_probably_page(F.col("url")))
     if scope is None:
         return found.withColumn("off_site", F.lit(False))
@@ -60,7 +62,8 @@ def sitemap_jobs(found: DataFrame, depth: int = SITEMAP_DEPTH) -> DataFrame:
 
 def after_redirects(visits: DataFrame, scope: DataFrame | None, drop: bool = False) -> DataFrame:
     """``visits`` (url, final_url ...) with the canonical ``final_url`` and ``redirected_offsite``: whether it lies outside a scope. With ``drop`` those go."""
-    final = visits.withColumn("final_url", urls.canonical_final_url(F.col("final_url"), F.col("url")))
+    rest = [F.col(f"`{c}`") for c in visits.columns if c != "final_url"]
+    final = visits.select(*rest, F.explode(F.array(urls.canonical_final_url(F.col("final_url"), F.col("url")))).alias("final_url"))
     if scope is None:
         return final.withColumn("redirected_offsite", F.lit(False))
     known = scope.select(F.col("host").alias("__host")).distinct().withColumn("__in", F.lit(True))

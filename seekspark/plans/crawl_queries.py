@@ -220,7 +220,7 @@ _LINKS_TWICE = f"(SELECT url, {_WEB_HOST} AS host, {_ASSET} AS asset FROM (SELEC
     count(DISTINCT CASE WHEN ends_with(host, '.org') AND NOT asset AND NOT starts_with(url, 'http://') THEN url END)::BIGINT AS queued FROM {_LINKS_TWICE}""")
 def q_schedule_counters(spark, sf_dir):
     """What scheduling all pages as links, twice, skips and queues; every sixth leads to a picture."""
-    pages = table(spark, sf_dir, "pages").withColumn("url", urls.canonical_url(F.col("url")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(urls.canonical_url(F.col("url")))).alias("url"))
     picture = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(".png"))
     links = pages.select(F.when(F.col("page_id") % 6 == 0, picture).otherwise(F.col("url")).alias("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
     scope = pages.select(urls.crawl_host(F.col("url")).alias("host")).filter(F.col("host").endswith(".org"))
