@@ -133,16 +133,18 @@ def common_grams(docs: DataFrame, text_col: str, hashes, sample: int, held_by: i
     def each(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            h, fits = hashes(data, offsets)
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[fits]
-            h = h[fits]
-            order = np.lexsort((text, h))
-            h, text = h[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            found, count = np.unique(h[new], return_counts=True)
-            often = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["h", "n"])
+            for i, j in slices(offsets, 4 * BLOCK):
+                own = offsets[i : j + 1] - offsets[i]
+                h, fits = hashes(data[offsets[i] : offsets[j]], own)
+                text = np.repeat(np.arange(j - i), np.diff(own))[fits]
+                h = h[fits]
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                found, count = np.unique(h[new], return_counts=True)
+                often = count > 1
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["h", "n"])
 
     got = drawn.mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= held_by).orderBy(F.desc("n"), "h").limit(most).select("h").collect()
     return np.sort(np.array([r["h"] for r in got], np.int64).view(np.uint64))
