@@ -197,7 +197,14 @@ def url_quality(url: Column, legal: float = 0.3, locale: float = 0.55, search: f
     n = F.size(segments)
     foreign = F.exists(segments, lambda s: (s == "intl") | s.rlike("^[a-z]{2}[-_][a-z0-9]{2,4}$"))
     times = lambda test, factor: F.when(test, factor).otherwise(1.0)
-    depth = F.when(n == 0, home).when(n > 2, F.greatest(F.lit(floor), F.pow(F.lit(decay), n - 2))).otherwise(1.0)
+    deep = F.greatest(F.lit(floor), F.pow(F.lit(decay), n - 2))
+    if decay < 1:
+        # The few powers above the floor as this machine's library has them: Java's are off by a last bit in one of ten cases.
+        steps = [1.0]
+        while steps[-1] > floor and len(steps) < 1000:
+            steps.append(decay ** len(steps))
+        deep = F.coalesce(F.get(F.array(*(F.lit(max(floor, x)) for x in steps)), n - 2), F.lit(floor) if steps[-1] <= floor else deep)
+    depth = F.when(n == 0, home).when(n > 2, deep).otherwise(1.0)
     return times(is_legal(url), legal) * times(foreign, locale) * times(is_search_view(url), search) * depth
 
 

@@ -93,3 +93,12 @@ def test_snippet():
 
 def test_safe_snippet():
     assert fetching.safe_text("a &lt;i&gt; <b>x</b> <script>") == "a &lt;i&gt; <b>x</b> &lt;script&gt;"
+
+
+def test_powers_to_the_last_bit(spark):
+    from seekspark.operators import ranking
+
+    ages = spark.range(400).select(F.col("id"), ranking.freshness(F.lit(1.0), F.lit(0) - F.col("id") * 86400, 0.0).alias("x")).collect()
+    assert all(r["x"] == 0.5 ** (r["id"] / 30) for r in ages)
+    deep = {n: one(spark, "https://a.example/" + "x/" * n, urls.url_quality) for n in (3, 6, 9, 10, 11, 40)}
+    assert deep == {n: max(0.55, 0.93 ** (n - 2)) for n in deep}
