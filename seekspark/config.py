@@ -11,6 +11,9 @@ class RankingConfig:
     max_per_domain: int | None = 2
     authority_weight: float = 2.5
     host_authority_weight: float = 1.5
+    #: What the two authorities are shares of: 1 where they come as shares.
+    authority_of: float = 1.0
+    host_authority_of: float = 1.0
     title_weight: float = 2.0
     legal_penalty: float = 0.3
     locale_penalty: float = 0.55

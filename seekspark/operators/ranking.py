@@ -53,7 +53,7 @@ def importance(score: Column, query: str, c: RankingConfig = RankingConfig()) ->
     if target is not None:
         nav = nav + F.when((label == target) & ~inner, c.site_host_weight + c.site_root_weight).otherwise(0.0)
     quality = urls.url_quality(url, c.legal_penalty, c.locale_penalty, c.search_view_penalty, c.depth_decay, c.depth_floor, c.home_bonus)
-    return score * quality + c.authority_weight * F.coalesce("authority", F.lit(0.0)) + c.host_authority_weight * F.coalesce("host_authority", F.lit(0.0)) + c.title_weight * title_match(F.col("title"), terms) + nav
+    return score * quality + c.authority_weight * F.coalesce("authority", F.lit(0.0)) / float(c.authority_of) + c.host_authority_weight * F.coalesce("host_authority", F.lit(0.0)) / float(c.host_authority_of) + c.title_weight * title_match(F.col("title"), terms) + nav
 
 
 def ordered_pool(hits: DataFrame, query: str, now: float, c: RankingConfig = RankingConfig()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seekspark.config import RankingConfig
 from seekspark.functions import html, urls
 from seekspark.functions.text import cut_snippet, snippet, tokens
 from seekspark.operators import ranking, search
@@ -104,14 +105,18 @@ _ORDERED = f"(SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS plac
 _LIMIT, _CAP = 10, 2
 
 
+#: Authorities come as parts of 7 and 5, so that they are weighted before they are divided, as in the twin: equal scores stay equal to the last bit.
+_PARTS = RankingConfig(authority_of=7.0, host_authority_of=5.0)
+
+
 def _hits(spark, sf_dir):
     i = F.col("page_id")
-    score, authority, host_authority = 2 + (i % 80) / 10, (i % 7) / 7, (i % 5) / 5
+    score, authority, host_authority = 2 + (i % 80) / 10, (i % 7).cast("double"), (i % 5).cast("double")
     return table(spark, sf_dir, "pages").select("page_id", "url", html.raw_title(F.col("html")).alias("title"), (i % 2).cast("string").alias("snippet"), fetched_at().alias("fetched_at"), score.alias("score"), authority.alias("authority"), host_authority.alias("host_authority"), i.alias("engine_rank"))
 
 
 def _pool(spark, sf_dir):
-    return ranking.ordered_pool(_hits(spark, sf_dir), _QUERY, NOW)
+    return ranking.ordered_pool(_hits(spark, sf_dir), _QUERY, NOW, _PARTS)
 
 
 @REGISTRY.query(f"SELECT page_id, round({_FRESH}, 6) AS score FROM pages")
@@ -122,7 +127,7 @@ def q_freshness(spark, sf_dir):
 @REGISTRY.query(f"SELECT page_id, round(score, 6) AS score FROM {_POOL}")
 def q_importance(spark, sf_dir):
     fresh = _hits(spark, sf_dir).withColumn("score", ranking.freshness(F.col("score"), F.col("fetched_at"), NOW))
-    return fresh.select("page_id", F.round(ranking.importance(F.col("score"), _QUERY), 6).alias("score"))
+    return fresh.select("page_id", F.round(ranking.importance(F.col("score"), _QUERY, _PARTS), 6).alias("score"))
 
 
 @REGISTRY.query(f"SELECT page_id, round(score, 6) AS score, place FROM {_ORDERED}")
@@ -172,7 +177,7 @@ def q_held_back(spark, sf_dir):
 @REGISTRY.query(f"SELECT count(*) FILTER (h <= {_CAP})::BIGINT AS kept, ((SELECT count(*) FROM pages) - count(*) FILTER (h <= {_CAP}))::BIGINT AS suppressed FROM (SELECT row_number() OVER (PARTITION BY host ORDER BY place) AS h FROM {_ORDERED})")
 def q_rank(spark, sf_dir):
     """The whole policy over all hits, capped once: what is kept, and what duplicates and the cap took."""
-    kept, suppressed = ranking.rank(_hits(spark, sf_dir), _QUERY, NOW)
+    kept, suppressed = ranking.rank(_hits(spark, sf_dir), _QUERY, NOW, _PARTS)
     return kept.agg(F.count("*").alias("kept")).withColumn("suppressed", F.lit(suppressed).cast("long"))
 
 

@@ -102,3 +102,12 @@ def test_powers_to_the_last_bit(spark):
     assert all(r["x"] == 0.5 ** (r["id"] / 30) for r in ages)
     deep = {n: one(spark, "https://a.example/" + "x/" * n, urls.url_quality) for n in (3, 6, 9, 10, 11, 40)}
     assert deep == {n: max(0.55, 0.93 ** (n - 2)) for n in deep}
+
+
+def test_authorities_are_weighted_before_they_are_divided(spark):
+    from seekspark.config import RankingConfig
+    from seekspark.operators import ranking
+
+    rows = spark.range(1, 7).select("id", F.lit("https://a.example/x").alias("url"), F.lit("").alias("title"), F.col("id").cast("double").alias("authority"), F.lit(0.0).alias("host_authority"))
+    got = {r["id"]: r["s"] for r in rows.select("id", ranking.importance(F.lit(0.0), "the and", RankingConfig(authority_of=7.0)).alias("s")).collect()}
+    assert got == {k: 2.5 * k / 7 for k in range(1, 7)}
