@@ -15,7 +15,8 @@ THIN = "\u2009"
 def _utc(seconds: Column, pattern: str) -> Column:
     """In UTC, whatever the session's zone."""
     at = F.timestamp_add("SECOND", seconds.try_cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.coalesce(F.date_format(at, pattern), F.lit("unknown"))
+    # Java writes a plus before years of five digits.
+    return F.coalesce(F.translate(F.date_format(at, pattern), "+", ""), F.lit("unknown"))
 
 
 def format_date(seconds: Column) -> Column:

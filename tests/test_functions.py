@@ -111,3 +111,10 @@ def test_authorities_are_weighted_before_they_are_divided(spark):
     rows = spark.range(1, 7).select("id", F.lit("https://a.example/x").alias("url"), F.lit("").alias("title"), F.col("id").cast("double").alias("authority"), F.lit(0.0).alias("host_authority"))
     got = {r["id"]: r["s"] for r in rows.select("id", ranking.importance(F.lit(0.0), "the and", RankingConfig(authority_of=7.0)).alias("s")).collect()}
     assert got == {k: 2.5 * k / 7 for k in range(1, 7)}
+
+
+def test_years_of_five_digits(spark):
+    from seekspark.functions.phrases import format_date
+
+    assert one(spark, 518_394_000_000, format_date, "long") == "02 Apr 18397, 13:20 UTC" and one(spark, 86399, format_date, "long") == "01 Jan 1970, 23:59 UTC"
+    assert one(spark, -62_135_596_800, format_date, "long") == "01 Jan 0001, 00:00 UTC"
