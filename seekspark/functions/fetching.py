@@ -6,6 +6,7 @@ import codecs
 import re
 import zlib
 from html import escape, unescape
+from html.entities import html5
 
 import pandas as pd
 import xxhash
@@ -116,9 +117,16 @@ def decode_body(body: pd.Series, charset: pd.Series) -> pd.Series:
 _MARKS = re.compile(r"(</?b>)")
 
 
+_REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _whole_reference(m: re.Match) -> str:
+    return unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+
+
 def safe_text(snippet: str | None) -> str:
-    """A snippet for a page: its own ``<b>`` marks stay, all else is escaped once."""
-    return "".join(p if _MARKS.fullmatch(p) else escape(unescape(p)) for p in _MARKS.split(snippet or ""))
+    """A snippet for a page: its own ``<b>`` marks stay, all else is escaped once. A reference ends with a semicolon; one cut off is text."""
+    return "".join(p if _MARKS.fullmatch(p) else escape(_REFERENCE.sub(_whole_reference, p)) for p in _MARKS.split(snippet or ""))
 
 
 @F.pandas_udf(T.StringType())

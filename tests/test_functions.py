@@ -118,3 +118,7 @@ def test_years_of_five_digits(spark):
 
     assert one(spark, 518_394_000_000, format_date, "long") == "02 Apr 18397, 13:20 UTC" and one(spark, 86399, format_date, "long") == "01 Jan 1970, 23:59 UTC"
     assert one(spark, -62_135_596_800, format_date, "long") == "01 Jan 0001, 00:00 UTC"
+
+
+def test_a_reference_ends_with_a_semicolon():
+    assert fetching.safe_text("<b>a&amp</b> &amp; &apos; &#60; &nosuch; &") == "<b>a&amp;amp</b> &amp; &#x27; &lt; &amp;nosuch; &amp;"
