@@ -229,3 +229,24 @@ def test_drain(spark, tmp_path):
     assert again.batches == 0
     hit = SearchIndex.open(spark, str(tmp_path / "index")).search("interpreter").hits.first()
     assert hit["authority"] > 0 and 0 < hit["host_authority"] < 1
+
+
+def _posted(df):
+    return sorted((r["id"] or "", r["term"], r["tf"], r["positions"], r["dl"]) for r in df.collect())
+
+
+def test_postings_are_grouped_inside_rows(spark):
+    from seekspark.operators import search
+
+    docs = spark.createDataFrame([("a", "x y X z x"), ("b", ""), ("c", None), ("d", "Z")], "id string, body string")
+    plan = search.postings(docs, "id", ("body",), unique=True)
+    assert _posted(plan) == [("a", "x", 3, [0, 2, 4], 5), ("a", "y", 1, [1], 5), ("a", "z", 1, [3], 5), ("d", "z", 1, [0], 1)]
+    assert "Aggregate" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert _posted(search.postings(docs, "id", ("body",), asked=lambda t: t == "z")) == [("a", "z", 1, [3], 5), ("d", "z", 1, [0], 1)]
+
+
+def test_postings_of_one_id_in_several_rows(spark):
+    from seekspark.operators import search
+
+    docs = spark.createDataFrame([("a", "x y"), ("a", "x z"), (None, "n"), (None, "n"), ("b", "x")], "id string, body string")
+    assert _posted(search.postings(docs, "id", ("body",))) == [("", "n", 2, [0, 0], 1), ("a", "x", 2, [0, 0], 2), ("a", "y", 1, [1], 2), ("a", "z", 1, [1], 2), ("b", "x", 1, [0], 1)]
