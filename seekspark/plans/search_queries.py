@@ -8,7 +8,7 @@ from seekspark.config import RankingConfig
 from seekspark.functions import html, urls
 from seekspark.functions.text import cut_snippet, snippet, tokens
 from seekspark.operators import ranking, search
-from seekspark.plans.query_parser import parse
+from seekspark.plans.query_parser import all_leaves, parse
 from seekspark.plans.registry import FETCHED_SQL, NOW, Registry, fetched_at
 from seekspark.plans.url_queries import BODY_TEXT, CANONICAL, LABEL, QUALITY, RANK_HOST, SEGMENTS, TITLE, TITLE_TEXT
 from seekspark.sources.tables import table
@@ -32,9 +32,11 @@ def corpus(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
 
 
-def index_of(spark, sf_dir):
+def index_of(spark, sf_dir, query: str | None = None):
+    """Postings, of a query's own terms if there is one, and field statistics."""
     docs = corpus(spark, sf_dir)
-    return search.postings(docs, "doc_id", BODY), search.field_stats(search.doc_lengths(docs, "doc_id", BODY))
+    own = None if query is None else search.asked(all_leaves(parse(query)))
+    return search.postings(docs, "doc_id", BODY, own), search.field_stats(search.doc_lengths(docs, "doc_id", BODY))
 
 
 @REGISTRY.query(f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
@@ -58,7 +60,7 @@ def q_term_stats(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, query: str, default: str = "and"):
-    return search.scored(*index_of(spark, sf_dir), parse(query, default), BODY).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.scored(*index_of(spark, sf_dir, query), parse(query, default), BODY).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'and'], '= 2')}")
@@ -73,19 +75,19 @@ def q_bm25_or(spark, sf_dir):
 
 @REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'qqqzz'], '>= 1')}")
 def q_relax(spark, sf_dir):
-    hits = search.match(*index_of(spark, sf_dir), "the qqqzz", BODY)
+    hits = search.match(*index_of(spark, sf_dir, "the qqqzz"), "the qqqzz", BODY)
     return hits.hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @REGISTRY.query(f"SELECT count(*)::BIGINT AS total FROM {_bm25(['the', 'and'], '= 2')}")
 def q_match_count(spark, sf_dir):
-    total = search.match(*index_of(spark, sf_dir), "the and", BODY).total
+    total = search.match(*index_of(spark, sf_dir, "the and"), "the and", BODY).total
     return spark.createDataFrame([(total,)], "total long")
 
 
 @REGISTRY.query(f"SELECT doc_id, round(score, 6) AS score FROM {_bm25(['the', 'and'], '= 2')} ORDER BY score DESC, doc_id LIMIT 20 OFFSET 10")
 def q_top_k(spark, sf_dir):
-    hits = search.scored(*index_of(spark, sf_dir), parse("the and"), BODY)
+    hits = search.scored(*index_of(spark, sf_dir, "the and"), parse("the and"), BODY)
     return search.top(hits, 20, 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -204,7 +206,7 @@ _TWENTY = f"SELECT doc_id AS k, text FROM (SELECT doc_id FROM {_bm25(['the', 'an
 
 @REGISTRY.query(f"SELECT k AS doc_id, snippet FROM ({_snippets(_TWENTY)})")
 def q_snippet(spark, sf_dir):
-    hits = search.top(search.scored(*index_of(spark, sf_dir), parse("the and"), BODY), 20)
+    hits = search.top(search.scored(*index_of(spark, sf_dir, "the and"), parse("the and"), BODY), 20)
     return F.broadcast(hits).join(corpus(spark, sf_dir), F.col("id") == F.col("doc_id")).select("doc_id", snippet(F.col("body"), {"the": 1.0, "and": 1.0}).alias("snippet"))  # 20 rows
 
 
@@ -318,6 +320,6 @@ def q_candidate_window(spark, sf_dir):
 @REGISTRY.query("SELECT 0::BIGINT AS none, false AS relaxed, 1::BIGINT AS of_limit_zero, (SELECT count(*) FROM documents WHERE list_contains(" + _TOKENS + ", 'the'))::BIGINT AS after_relaxing, true AS was_relaxed")
 def q_no_match(spark, sf_dir):
     """No hit for one unknown word; of two, one of them unknown, those of the other; and a limit of 0 counts as 1."""
-    posted, stats = index_of(spark, sf_dir)
+    posted, stats = index_of(spark, sf_dir, "the qqqzz")
     nothing, loose = search.best(posted, stats, "qqqzz", 10, 0, BODY), search.best(posted, stats, "the qqqzz", 0, 0, BODY)
     return spark.createDataFrame([(nothing.total, nothing.relaxed, len(loose.rows), loose.total, loose.relaxed)], "none long, relaxed boolean, of_limit_zero long, after_relaxing long, was_relaxed boolean")
