@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,7 +163,7 @@ class IndexWriter:
         sized = docs.select(*DOCS.names, *(F.size(search.terms_of(f)).alias(f"dl_{f}") for f in INDEXED), _bucket("url", doc_buckets).alias("bucket"))
         sized.repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "url").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/docs")
         stored = self.spark.read.schema(_STORED).parquet(f"{folder}/docs")
-        posted = search.postings(stored, "url", INDEXED).withColumn("bucket", _bucket("term", term_buckets))
+        posted = search.postings(stored, "url", INDEXED, unique=True).withColumn("bucket", _bucket("term", term_buckets))
         part = F.pmod(F.xxhash64("id"), F.lit(parts))
         posted.repartition(min(term_buckets * parts, MOST_BUCKETS), F.col("bucket"), part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         sums = stored.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"dl_{f}"), F.lit(0)).alias(f) for f in INDEXED)).first()
@@ -305,9 +306,8 @@ class SearchIndex:
     def over(cls, docs: DataFrame, config: SearchConfig = SearchConfig()) -> SearchIndex:
         """An index that lives as long as the session."""
         docs = as_documents(docs).cache()
-        posted = search.postings(docs, "url", INDEXED).cache()
         fields = search.field_stats(search.doc_lengths(docs, "url", INDEXED)).cache()
-        return cls(docs.sparkSession, None, (docs, posted, fields), config)
+        return cls(docs.sparkSession, None, (docs, None, fields), config)
 
     def meta(self) -> dict:
         return read_meta(self.spark, self.path)
@@ -327,10 +327,14 @@ class SearchIndex:
         n = max(meta["documents"], 1)
         return self.spark.createDataFrame([(f, meta["documents"], meta["tokens"][f] / n) for f in INDEXED], "field string, n long, avgdl double")
 
-    def tables(self, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(documents, postings, field statistics) of the current version; given terms, of the postings those of their buckets."""
+    def tables(self, terms: list[str] | None = None, asked: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(documents, postings, field statistics) of the current version; given terms, of the postings those of their buckets.
+
+        Without a folder the postings are made for each query, those for which ``asked`` holds; all are kept only after :meth:`warm_up`.
+        """
         if self._tables is not None:
-            return self._tables
+            docs, posted, fields = self._tables
+            return docs, search.postings(docs, "url", INDEXED, asked) if posted is None else posted, fields
         meta = self.meta()
         if self._warm is not None and self._warm[0] == meta["version"]:
             return self._warm[1]
@@ -355,6 +359,9 @@ class SearchIndex:
         if self._tables is None:
             docs, posted, fields = self.tables()
             self._warm = self.fingerprint(), (docs, posted.persist(), fields)
+        elif self._tables[1] is None:
+            docs, posted, fields = self.tables()
+            self._tables = docs, posted.persist(), fields
         return self.tables()[1].count()
 
     def search(self, query: str, limit: int = 10, offset: int = 0) -> Outcome:
@@ -371,7 +378,7 @@ class SearchIndex:
         asked = all_leaves(parse(query))
         wanted = sorted({t for leaf in asked for t in leaf.terms})
         # Without a range only the buckets of the query's own terms are read.
-        _, posted, fields = self.tables(None if any(leaf.bounds for leaf in asked) else wanted)
+        _, posted, fields = self.tables(None if any(leaf.bounds for leaf in asked) else wanted, search.asked(asked))
         found = search.best(posted, fields, query, limit, offset) if asked else search.Best([], 0, False)
         place = {r["id"]: (i, r["score"]) for i, r in enumerate(found.rows, offset + 1)}
         told = self._stored(list(place)).select("url", "title", snippet(F.col("body"), {t: 1.0 for t in wanted}, self.config.snippet_chars).alias("snippet"), "fetched_at", "authority", "host_authority").collect() if place else []

@@ -250,3 +250,9 @@ def test_postings_of_one_id_in_several_rows(spark):
 
     docs = spark.createDataFrame([("a", "x y"), ("a", "x z"), (None, "n"), (None, "n"), ("b", "x")], "id string, body string")
     assert _posted(search.postings(docs, "id", ("body",))) == [("", "n", 2, [0, 0], 1), ("a", "x", 2, [0, 0], 2), ("a", "y", 1, [1], 2), ("a", "z", 1, [1], 2), ("b", "x", 1, [0], 1)]
+
+
+def test_a_query_makes_its_own_postings_alone(spark):
+    index = SearchIndex.over(spark.createDataFrame(DOCS, SCHEMA))
+    assert index._tables[1] is None and index.search("rust").total_matches == 2
+    assert index.warm_up() > 0 and index._tables[1].is_cached and index.search("rust value").total_matches == 2
