@@ -122,3 +122,12 @@ def test_years_of_five_digits(spark):
 
 def test_a_reference_ends_with_a_semicolon():
     assert fetching.safe_text("<b>a&amp</b> &amp; &apos; &#60; &nosuch; &") == "<b>a&amp;amp</b> &amp; &#x27; &lt; &amp;nosuch; &amp;"
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    """Arrow sends 10,000 rows or 64 MB of pages at once; the rows come back the same, odd ones too."""
+    pages = [(None, None), (None, "https://e.example/"), ("", ""), ("<title>a\U0001f600\0é</title><body>x&mdash; y<a href=z>", "https://e.example/q"), ("<body>" + "w " * 500_000, "https://e.example/long")] * 50
+    found = spark.createDataFrame(pages, "html string, url string").select(html.extract_page("html", "url").alias("p"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r["p"]) for r in found.collect()] == [html.extract(*p) for p in pages[:5]] * 50
